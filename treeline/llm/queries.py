@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from treeline.llm.mixing import op6_mixing
+from treeline.llm.packing import op5_packing
 from treeline.llm.token_counts import op10_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_packing": op5_packing,
+    "op6_mixing": op6_mixing,
     "op10_token_counts": op10_token_counts,
 }
 

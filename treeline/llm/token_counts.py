@@ -60,6 +60,21 @@ def whole_tokens(path: str) -> frozenset[str]:
     return frozenset(w for w, e in zip(words, encoded, strict=True) if len(e.ids) == 1)
 
 
+class _Counts(dict):
+    """Counts by string; what is missing is counted."""
+
+    def __init__(self, count, limit: int):
+        super().__init__()
+        self.count = count
+        self.limit = limit
+
+    def __missing__(self, key: str) -> int:
+        n = self.count(key)
+        if len(key) < 64 and len(self) < self.limit:
+            self[key] = n
+        return n
+
+
 class TokenCounter:
     """Counts tokens of texts exactly as the library does."""
 
@@ -72,9 +87,8 @@ class TokenCounter:
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.find = regex.compile(PRETOKEN).findall
         self.spelling = byte_characters()
-        self.words: dict[str, int] = {}
-        self.pretokens: dict[str, int] = {}
-        self.cache_words = cache_words
+        self.words = _Counts(self._word, cache_words)
+        self.pretokens = _Counts(self._merge, cache_words)
         self.merged = 0
 
     def _library(self, text: str) -> int:
@@ -82,49 +96,25 @@ class TokenCounter:
         return len(self.tok.encode(text, add_special_tokens=False).ids)
 
     def _merge(self, pre: str) -> int:
-        n = self.pretokens.get(pre)
-        if n is None:
-            self.merged += 1
-            spelled = pre if pre.isascii() else "".join(map(self.spelling.__getitem__, pre.encode()))
-            n = len(self.model.tokenize(spelled))
-            if len(pre) < 64:
-                if len(self.pretokens) > self.cache_words:
-                    self.pretokens.clear()
-                self.pretokens[pre] = n
-        return n
+        self.merged += 1
+        spelled = pre if pre.isascii() else "".join(map(self.spelling.__getitem__, pre.encode()))
+        return len(self.model.tokenize(spelled))
 
     def _word(self, word: str) -> int:
-        if not word:
-            return 0
         if not SIMPLE.fullmatch(word):
-            return self._library(word)
-        total = 0
-        for pre in self.find(word.lower()):
-            total += 1 if pre in self.whole else self._merge(pre)
-        return total
+            return self._library(word) if word else 0
+        whole, pretokens = self.whole, self.pretokens
+        return sum(1 if pre in whole else pretokens[pre] for pre in self.find(word.lower()))
 
     def count(self, text: str | None) -> int:
         if not text:
             return 0
         if any(s in text for s in self.specials):
             return self._library(text)
-        words = text.split(" ")
-        cache = self.words
-        try:
-            return sum(map(cache.__getitem__, words))
-        except KeyError:
-            pass
-        if len(cache) > self.cache_words:
-            cache.clear()
-        total = 0
-        for w in words:
-            n = cache.get(w)
-            if n is None:
-                n = self._word(w)
-                if len(w) < 64:
-                    cache[w] = n
-            total += n
-        return total
+        for cache in (self.words, self.pretokens):
+            if len(cache) >= cache.limit:
+                cache.clear()
+        return sum(map(self.words.__getitem__, text.split(" ")))
 
 
 def token_counts(
