@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from treeline.llm.mixing import op6_mixing
 from treeline.llm.packing import op5_packing
 from treeline.llm.token_counts import op10_token_counts
+from treeline.llm.winnowing import op3_winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_winnowing": op3_winnowing,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op10_token_counts": op10_token_counts,
