@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from treeline.llm.mixing import op6_mixing
 from treeline.llm.packing import op5_packing
+from treeline.llm.quality import op1_quality
 from treeline.llm.token_counts import op10_token_counts
+from treeline.llm.topk import OP8_SQL, op8_topk
 from treeline.llm.winnowing import op3_winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op3_winnowing": op3_winnowing,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
+    "op8_topk": op8_topk,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_topk": OP8_SQL}
