@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from treeline.llm.html_extract import op2_html_extraction
 from treeline.llm.mixing import op6_mixing
 from treeline.llm.packing import op5_packing
 from treeline.llm.quality import op1_quality
@@ -15,6 +16,7 @@ from treeline.llm.winnowing import op3_winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_html_extraction": op2_html_extraction,
     "op3_winnowing": op3_winnowing,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
