@@ -266,7 +266,7 @@ class TreeModel:
 # Labelled pages.
 
 
-def training_pages(n: int = 320, seed: int = 3) -> list[tuple[str, set[str]]]:
+def training_pages(n: int = 400, seed: int = 3) -> list[tuple[str, set[str]]]:
     """Pages of many layouts, each with the set of its content blocks. Every block's text occurs once in its page."""
     r = random.Random(seed)
     serial = iter(range(10**9))
@@ -339,7 +339,9 @@ def training_pages(n: int = 320, seed: int = 3) -> list[tuple[str, set[str]]]:
         for _ in range(r.choice((1, 1, 2, 3, 4, 5, 6, 8))):
             x = r.random()
             if x < 0.72:
-                article.append(keep("p", sentence(1, 3) if r.random() < 0.25 else prose(r.choice((1, 1, 3, 6)))))
+                y = r.random()
+                plain = sentence(1, 3) if y < 0.2 else words(10, 200) if y < 0.3 else prose(r.choice((1, 1, 3, 6)))
+                article.append(keep("p", plain))
             elif x < 0.8:
                 article.append(keep("h2", sentence(1, 6)))
             elif x < 0.86:
