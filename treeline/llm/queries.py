@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from treeline.llm.html_extract import op2_html_extraction
 from treeline.llm.mixing import op6_mixing
+from treeline.llm.near_dedup import op4_near_dedup
 from treeline.llm.packing import op5_packing
 from treeline.llm.quality import op1_quality
 from treeline.llm.token_counts import op10_token_counts
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_html_extraction": op2_html_extraction,
     "op3_winnowing": op3_winnowing,
+    "op4_near_dedup": op4_near_dedup,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op8_topk": op8_topk,
