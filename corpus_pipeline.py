@@ -5,10 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from treeline.llm import common
+from treeline.llm.line_dedup import deduplicated
+from treeline.llm.mixing import mix
+from treeline.llm.near_dedup import near_duplicates
+from treeline.llm.packing import pack
+from treeline.llm.quality import keep_good
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    return keep_good(docs, common.read(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier line matches."""
+    return deduplicated(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates; rows without an id stay."""
+    found = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(common.materialize(found), F.col("doc_id") == F.col("gone"), "left_anti")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated, whole and in part, towards their sources' target weights."""
+    return mix(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 1024 tokens."""
+    return pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("line_dedup", lines),
+    ("near_dedup", near_dedup),
+    ("mixing", mixture),
+    ("packing", packing),
+]
 
 #: The classifier and Karmarkar-Karp have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -101,8 +101,8 @@ def text_chunks(column: pa.Array, limit: int = 1 << 20):
         yield first, texts
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (A-Z lower-cased) of the texts, and how many words each text has."""
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (A-Z lower-cased), where they start, and the buffer of the texts, each ended by a newline."""
     joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     space = _IS_SPACE[joined]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
@@ -116,6 +116,24 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     # the byte before a word is white space and adds nothing, so total[start - 1] is the sum up to the word
     before = np.where(starts > 0, total[starts - 1], np.uint64(0))
     hashes = mix64((total[ends - 1] - before) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return hashes, starts, joined
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes, and how many words each text has."""
+    hashes, starts, _ = words_of(texts)
     limits = np.cumsum([len(t) + 1 for t in texts])
-    counts = np.diff(np.searchsorted(starts, limits), prepend=0)
-    return hashes, counts
+    return hashes, np.diff(np.searchsorted(starts, limits), prepend=0)
+
+
+def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n): how often each word (by its hash) occurs in all texts; summed within tasks before shuffling."""
+
+    def count(batches):
+        for batch in batches:
+            for _, texts in text_chunks(batch.column(0), 16 << 20):
+                words, n = np.unique(word_hashes(texts)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n, pa.int64())], names=["word", "n"])
+
+    texts = docs.select(docs[text_col].cast("string"))
+    return texts.mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
