@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from treeline.llm.html_extract import op2_html_extraction
+from treeline.llm.language_model import op7_language_model
 from treeline.llm.line_dedup import op9_line_dedup
 from treeline.llm.mixing import op6_mixing
 from treeline.llm.near_dedup import op4_near_dedup
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dedup": op4_near_dedup,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
+    "op7_language_model": op7_language_model,
     "op8_topk": op8_topk,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
