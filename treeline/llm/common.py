@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Words a task sums up before it sends their counts on.
+WORDS_AT_ONCE = 1 << 22
 #: White space that separates words, as bytes: blank and 0x09-0x0D (fixed values).
 SPACES = b" \t\n\x0b\x0c\r"
 #: The same class as a Java regular expression for one word.
@@ -129,11 +131,22 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n): how often each word (by its hash) occurs in all texts; summed within tasks before shuffling."""
 
+    def summed(held):
+        words, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n, pa.int64())], names=["word", "n"])
+
     def count(batches):
+        held, size = [], 0
         for batch in batches:
-            for _, texts in text_chunks(batch.column(0), 16 << 20):
-                words, n = np.unique(word_hashes(texts)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n, pa.int64())], names=["word", "n"])
+            for _, texts in text_chunks(batch.column(0)):
+                held.append(word_hashes(texts)[0])
+                size += len(held[-1])
+                if size >= WORDS_AT_ONCE:
+                    yield summed(held)
+                    size = 0
+        if held:
+            yield summed(held)
 
     texts = docs.select(docs[text_col].cast("string"))
     return texts.mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
