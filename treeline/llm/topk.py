@@ -26,6 +26,7 @@ SEGMENTS = (1, 4, 16)
 #: Queries sent to every task at once, in bytes of vectors; more of them go in further blocks.
 QUERY_BLOCK_BYTES = 16 << 20
 CANDIDATES = 2048
+SEED_CANDIDATES = 128
 
 
 def summaries(x: np.ndarray, segments: int) -> np.ndarray:
@@ -49,32 +50,41 @@ class Searcher:
         self.exact = 0
 
     def add(self, ids: np.ndarray, y: np.ndarray) -> None:
+        # the first few candidates set the scores to beat
+        for lo, hi in ((0, SEED_CANDIDATES), (SEED_CANDIDATES, len(ids))) if np.isinf(self.least).any() else ((0, len(ids)),):
+            self._add(ids[lo:hi], y[lo:hi])
+
+    def _add(self, ids: np.ndarray, y: np.ndarray) -> None:
+        if not len(ids):
+            return
         norm = (y * y).sum(axis=1)
-        alive = np.ones((len(self.ids), len(ids)), bool)
-        alive[self.ids[:, None] == ids[None, :]] = False  # its own row
+        alive = self.ids[:, None] != ids[None, :]  # not its own row
         for level, mine in zip([summaries(y, s) for s in SEGMENTS if s < y.shape[1]], self.levels, strict=True):
             # distance of summaries <= distance of vectors, so (|q|^2 + |y|^2 - distance) / 2 >= q.y
-            bound = (
-                self.norm[:, None] + norm[None, :]
-                - (mine * mine).sum(axis=1)[:, None] - (level * level).sum(axis=1)[None, :]
-            ) / 2 + mine @ level.T
-            alive &= bound >= self.least[:, None] - (1e-6 * np.abs(bound) + 1e-3)
+            bound = mine @ level.T
+            bound += ((self.norm - (mine * mine).sum(axis=1)) / 2)[:, None]
+            bound += ((norm - (level * level).sum(axis=1)) / 2)[None, :]
+            slack = 1e-3 + 1e-9 * float(self.norm.max(initial=0) + norm.max(initial=0))  # rounding
+            alive &= bound >= (self.least - slack)[:, None]
         for q in np.flatnonzero(alive.any(axis=1)):
             at = np.flatnonzero(alive[q])
             scores = self._products(y[at], self.x[q])
             self.exact += len(at)
-            found = self.best[q] + list(zip(scores, ids[at].tolist(), strict=True))
+            if len(at) > self.k:  # ties with the k-th best stay
+                keep = np.flatnonzero(scores >= np.partition(scores, -self.k)[-self.k])
+                at, scores = at[keep], scores[keep]
+            found = self.best[q] + list(zip(scores.tolist(), ids[at].tolist(), strict=True))
             found.sort(key=lambda p: (-p[0], p[1]))
             self.best[q] = found[: self.k]
             if len(self.best[q]) == self.k:
                 self.least[q] = self.best[q][-1][0]
 
     @staticmethod
-    def _products(y: np.ndarray, x: np.ndarray) -> list[int]:
+    def _products(y: np.ndarray, x: np.ndarray) -> np.ndarray:
         if np.abs(y).max(initial=0) * max(np.abs(x).max(initial=0), 1) * len(x) < 2**53:
-            return (y @ x).astype(np.int64).tolist()
+            return (y @ x).astype(np.int64)
         whole = [int(v) for v in x]
-        return [sum(int(a) * b for a, b in zip(row, whole, strict=True)) for row in y]
+        return np.array([sum(int(a) * b for a, b in zip(row, whole, strict=True)) for row in y], object)
 
 
 def integers(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
