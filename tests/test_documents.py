@@ -150,6 +150,20 @@ def test_structures():
     assert errors(m, {"m:box": {"a": 1, "b": 2}}) == [] and errors(m, {"box": {"b": 200}}) != []
 
 
+def test_own_extension():
+    from treeline.schema.extensions import REGISTRY, extension
+
+    @extension("m", "note")
+    def note(builder, statement):
+        builder.module.warnings.append(f"noted {statement.arg}")
+
+    try:
+        m = module('m:note "here"; m:other x;', "extension note { argument text; }")
+    finally:
+        del REGISTRY["m", "note"]
+    assert m.warnings == ["noted here", "unknown extension 'm:other'"]
+
+
 def test_parity_meanings_and_rfc():
     ranges = module("leaf n { type int32 { range '1..10 | 20..30'; } }")
     assert errors(ranges, {"n": 15}) == [] and errors(ranges, {"n": 15}, rfc=True) != []

@@ -6,6 +6,7 @@ import copy
 from pathlib import Path
 
 from treeline.errors import CircularUsesError, RefineTargetError, SchemaError
+from treeline.schema.extensions import REGISTRY
 from treeline.schema.model import Module, Must, Node, Pattern, TypeSpec, When
 from treeline.schema.statements import Statement, parse
 from treeline.xpath.parser import parse as parse_xpath
@@ -106,7 +107,7 @@ class _Builder:
             m.root.children += self.data(s, m, ())
         for s in body:
             if s.keyword == "augment":
-                self._augment(s)
+                self.augment(s)
             elif ":" in s.keyword:
                 self._extension(s)
         _check(m.root)
@@ -296,7 +297,7 @@ class _Builder:
         n.if_features = n.if_features + [f.arg for f in r.all("if-feature")]
         self._conditions(n, r)
 
-    def _augment(self, a: Statement) -> None:
+    def augment(self, a: Statement) -> None:
         """Merge an augment into the module its path starts in; added nodes know their module."""
         first = a.arg.strip("/").split("/")[0]
         prefix = first.partition(":")[0] if ":" in first else None
@@ -311,21 +312,20 @@ class _Builder:
         target.children += added
 
     def _extension(self, s: Statement) -> None:
-        """Data structures of RFC 8791: ``structure`` is a top container, ``augment-structure`` adds to one."""
+        """A use of an extension: what is registered for it, or a warning if its module does not define it."""
         prefix, _, name = s.keyword.partition(":")
         owner = self.module.by_prefix(prefix)
-        if not owner or owner.name != "ietf-yang-structure-ext":
-            if owner and name not in owner.extensions:
-                self.module.warnings.append(f"unknown extension {s.keyword!r}")
-            return
-        if name == "structure":
-            n = Node("container", s.arg, description=s.value("description"))
-            self._conditions(n, s)
-            n.children = [c for inner in s.subs for c in self.data(inner, self.module, ())]
-            n.presence = "structure"
-            self.module.root.children.append(n)
-        elif name == "augment-structure":
-            self._augment(s)
+        callback = owner and REGISTRY.get((owner.name, name))
+        if callback:
+            callback(self, s)
+        elif owner is None or name not in owner.extensions:
+            self.module.warnings.append(f"unknown extension {s.keyword!r}")
+
+    def add_structure(self, s: Statement) -> None:
+        n = Node("container", s.arg, description=s.value("description"), presence="structure")
+        self._conditions(n, s)
+        n.children = [c for inner in s.subs for c in self.data(inner, self.module, ())]
+        self.module.root.children.append(n)
 
 
 def _stamp(n: Node, module: str) -> None:
