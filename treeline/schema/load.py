@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import copy
 from pathlib import Path
 
 from treeline.errors import CircularUsesError, RefineTargetError, SchemaError
@@ -378,7 +377,3 @@ def parse_file(path: str | Path, include_path: tuple[str | Path, ...] = ()) -> M
 
 def parse_string(text: str, source: str | None = None, include_path: tuple[str | Path, ...] = ()) -> Module:
     return Loader(include_path).text(text, source)
-
-
-def clone(node: Node) -> Node:
-    return copy.deepcopy(node)
