@@ -7,6 +7,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from treeline.operators import rules
 from treeline.plans.tables import TablePlan
@@ -91,8 +92,19 @@ def module() -> Module:
     return parse_string(SCHEMA)
 
 
+_schemas: dict[str, StructType] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; its schema is read from the files once per path."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
 def plan(spark: SparkSession, sf_dir: str) -> TablePlan:
-    tables = {c.name: spark.read.parquet(f"{sf_dir}/{c.name}.parquet") for c in module().root.children}
+    tables = {c.name: table(spark, sf_dir, c.name) for c in module().root.children}
     return TablePlan(module(), tables, {"orders": {"lineitem": [("o_orderkey", "l_orderkey")]}})
 
 
