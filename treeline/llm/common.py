@@ -89,6 +89,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Compress integers byte plane by byte plane."""
+    v = np.ascontiguousarray(values)
+    planes = v.view(np.uint8).reshape(len(v), v.itemsize).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, n: int, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = pa.decompress(data, n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).reshape(n)
+
+
 def text_chunks(column: pa.Array, limit: int = 1 << 20):
     """Yield (first row, texts as bytes) of about ``limit`` bytes; null counts as empty; a text is never split."""
     texts, size, first = [], 0, 0

@@ -33,10 +33,13 @@ PARTNERS = 3
 #: Pairs compared at a time.
 PAIR_BLOCK = 1 << 21
 BROADCAST_LINES = 1 << 20
-ROWS_PER_PARTITION = 400_000
+ROWS_PER_PART = 100_000
 
 _LAST = (1 << 63) - 1
 PREFIX = "word bigint, doc bigint, line int, lines bigint, n int, at int, even bigint, odd bigint"
+KINDS = {"word": np.int64, "doc": np.int64, "line": np.int32, "lines": np.int64, "n": np.int32, "at": np.int32, "even": np.int64, "odd": np.int64}
+#: Prefix rows a task packs together.
+ROWS_AT_ONCE = 1 << 20
 
 
 class LineSets:
@@ -94,9 +97,9 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(words: np.ndarray, counts: np.ndarray, least: int):
-    """Rows of (word, place, set, size, position, parities) for the prefix words of each distinct line of a batch."""
+    """Columns of (word, place, set, size, position, parities) for the prefix words of each distinct line of a batch."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             for first, texts in common.text_chunks(batch.column(1)):
@@ -121,18 +124,69 @@ def _prefixes(words: np.ndarray, counts: np.ndarray, least: int):
                 keep &= once[line]
                 line = line[keep]
                 even, odd = s.parities()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(word[keep].view(np.int64)), pa.array(doc[line]), pa.array(s.number[line]),
-                        pa.array(keys[line].view(np.int64)), pa.array(s.n[line].astype(np.int32)),
-                        pa.array(position[keep].astype(np.int32)), pa.array(even[line].view(np.int64)), pa.array(odd[line].view(np.int64)),
-                    ],
-                    names=["word", "doc", "line", "lines", "n", "at", "even", "odd"],
-                )
+                yield {
+                    "word": word[keep].view(np.int64), "doc": doc[line].astype(np.int64), "line": s.number[line], "lines": keys[line].view(np.int64),
+                    "n": s.n[line].astype(np.int32), "at": position[keep].astype(np.int32), "even": even[line].view(np.int64), "odd": odd[line].view(np.int64),
+                }
 
     return run
 
 
+def _as_rows(tables) -> Iterator[pa.RecordBatch]:
+    for t in tables:
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in t.values()], names=list(t))
+
+
+def _as_blobs(tables, parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, n, columns): prefix rows dealt by word, packed column by column."""
+    held, size = [], 0
+
+    def flush():
+        t = {k: np.concatenate([h[k] for h in held]) for k in KINDS}
+        held.clear()
+        part = (common.mix64(t["word"].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((t["word"], part))
+        part, t = part[order], {k: v[order] for k, v in t.items()}
+        edge = np.flatnonzero(np.diff(part, prepend=-1))
+        spans = list(zip(edge, np.append(edge[1:], len(part)), strict=True))
+        packed = [[common.pack(np.diff(v[lo:hi], prepend=0) if k == "word" else v[lo:hi]) for k, v in t.items()] for lo, hi in spans]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part[edge]), pa.array([int(hi - lo) for lo, hi in spans], pa.int64()), pa.array(packed, pa.list_(pa.binary()))],
+            names=["part", "rows", "columns"],
+        )
+
+    for t in tables:
+        if len(t["word"]):
+            held.append(t)
+            size += len(t["word"])
+        if size >= ROWS_AT_ONCE:
+            yield flush()
+            size = 0
+    if held:
+        yield flush()
+
+
+def _from_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The prefix rows of each part of a partition, one part at a time."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for part, n, columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held.setdefault(part, []).append((n, columns))
+    while held:
+        _, blobs = held.popitem()
+        t = {k: np.concatenate([common.unpack(c[i], n, kind) for n, c in blobs]) for i, (k, kind) in enumerate(KINDS.items()) if k != "word"}
+        t["word"] = np.concatenate([np.cumsum(common.unpack(c[0], n, np.int64)) for n, c in blobs])
+        yield t
+
+
+def _from_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of a partition of bounded size."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        table = pa.Table.from_batches(held)
+        yield {k: table.column(k).to_numpy() for k in table.column_names}
+
+
 CANDIDATE = "lines bigint, doc_b bigint, line_b int, doc_a bigint, line_a int, more boolean"
 
 
@@ -140,10 +194,10 @@ def _partners(marked_only: bool, limit: int):
     """For each line of each bucket its earliest ``limit`` passing partners (all if 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))  # one partition of bounded size
-        if not table.num_rows:
-            return
-        c = {k: table.column(k).to_numpy() for k in table.column_names}
+        for c in _from_rows(batches) if marked_only else _from_blobs(batches):
+            yield from compare(c)
+
+    def compare(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((c["line"], c["doc"], c["word"]))
         c = {k: v[order] for k, v in c.items()}
         # of equal sets in a bucket the earliest
@@ -255,14 +309,18 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast((words, counts))  # at most RANKED_WORDS entries of 12 bytes
 
     def prefixes(batches):
-        yield from _prefixes(*sent.value, least)(batches)
+        yield from _as_rows(_prefixes(*sent.value, least)(batches))
+
+    def blobs(batches):
+        yield from _as_blobs(_prefixes(*sent.value, least)(batches), parts)
 
     lines = materialize(rows.mapInArrow(_lines, "doc bigint, line int, lines bigint"))
     total = lines.count()
     prefix = rows.mapInArrow(prefixes, PREFIX)
-    parts = max(spark.sparkContext.defaultParallelism, -(-total * 12 // ROWS_PER_PARTITION))
+    parts = max(256, -(-total * 12 // ROWS_PER_PART))
     found = materialize(
-        prefix.repartition(parts, "word").mapInArrow(_partners(False, PARTNERS), CANDIDATE)
+        rows.mapInArrow(blobs, "part bigint, rows bigint, columns array<binary>")
+        .repartition(-(-parts // 4), "part").mapInArrow(_partners(False, PARTNERS), CANDIDATE)
         .groupBy("lines", "doc_b", "line_b", "doc_a", "line_a").agg(F.max("more").alias("more"))
     )
     matched = _verified(rows, found)
