@@ -125,7 +125,8 @@ def test_line_dedup(spark, seed):
         if n:
             want[d] = (n, gone)
     docs = frame(spark, texts)
-    assert {x.doc: (x.n_lines, list(x.removed)) for x in removed_lines(docs).collect()} == want
+    for partners in (1, 3):  # one partner at first leaves more lines to the second look
+        assert {x.doc: (x.n_lines, list(x.removed)) for x in removed_lines(docs, partners).collect()} == want
     kept = {x.doc_id: x.text for x in deduplicated(docs).collect()}
     for d, t in enumerate(texts):
         n, gone = want.get(d, (0, []))
@@ -137,6 +138,20 @@ def test_line_dedup(spark, seed):
     assert removed_lines(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_line_dedup_looks_again(spark, monkeypatch, broadcast):
+    from treeline.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", broadcast)
+    u, c = [f"u{i}" for i in range(240)], [f"c{i}" for i in range(60)]
+    first = u + [f"x{i}" for i in range(60)]  # likeness 0.67 with the last, and before its true partner in every bucket
+    second = u[:207] + c + [f"y{i}" for i in range(33)]  # likeness 0.80
+    fillers = [c + [f"f{k}-{i}" for i in range(200)] for k in range(5)]
+    texts = [" ".join(w) for w in [first, second, *fillers, u + c]]
+    found = {x.doc: list(x.removed) for x in removed_lines(frame(spark, texts), 1).collect()}
+    assert found == {i: [0] if i == 7 else [] for i in range(8)}
+
+
 def test_winnowing(spark):
     texts = corpus(6) + ["x" * 3000, "日本語" * 50]
     rows = {r.doc_id: r for r in fingerprints(frame(spark, texts)).collect()}

@@ -294,7 +294,7 @@ def _ranked(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return words[order], n[order].astype(np.int32), least
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, partners: int = PARTNERS) -> DataFrame:
     """(doc, removed array<int>, n_lines): per document id the numbers (from 0) of the lines that go, and its lines with words.
 
     Lines are separated by newlines; lines without words always stay. A null text
@@ -308,19 +308,15 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     words, counts, least = _ranked(rows)
     sent = spark.sparkContext.broadcast((words, counts))  # at most RANKED_WORDS entries of 12 bytes
 
-    def prefixes(batches):
-        yield from _as_rows(_prefixes(*sent.value, least)(batches))
-
     def blobs(batches):
         yield from _as_blobs(_prefixes(*sent.value, least)(batches), parts)
 
     lines = materialize(rows.mapInArrow(_lines, "doc bigint, line int, lines bigint"))
     total = lines.count()
-    prefix = rows.mapInArrow(prefixes, PREFIX)
     parts = max(256, -(-total * 12 // ROWS_PER_PART))
     found = materialize(
         rows.mapInArrow(blobs, "part bigint, rows bigint, columns array<binary>")
-        .repartition(-(-parts // 4), "part").mapInArrow(_partners(False, PARTNERS), CANDIDATE)
+        .repartition(-(-parts // 4), "part").mapInArrow(_partners(False, partners), CANDIDATE)
         .groupBy("lines", "doc_b", "line_b", "doc_a", "line_a").agg(F.max("more").alias("more"))
     )
     matched = _verified(rows, found)
@@ -328,9 +324,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         found.join(matched, "lines", "left_anti").where("more").select("lines", F.col("doc_b").alias("doc"), F.col("line_b").alias("line")).distinct()
     )
     if again.limit(1).count():
-        mine = prefix.join(again.select("lines", F.lit(True).alias("marked")), "lines")
-        theirs = prefix.join(mine.select("word").distinct(), "word", "left_semi").join(again.select("lines"), "lines", "left_anti")
-        both = mine.select(*prefix.columns, "marked").unionByName(theirs.select(*prefix.columns, F.lit(False).alias("marked")))
+        both = _rows_again(spark, rows, lambda: _prefixes(*sent.value, least), again)
         rest = materialize(both.repartition(parts, "word").mapInArrow(_partners(True, 0), CANDIDATE).drop("more").distinct())
         matched = materialize(matched.unionAll(_verified(rows, rest)).distinct())
     # a set's first line stays unless the set is matched by an earlier one; its other lines go
@@ -350,6 +344,48 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     )
 
 
+def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _rows_again(spark: SparkSession, rows: DataFrame, prefixes, again: DataFrame) -> DataFrame:
+    """Prefix rows of the words that the lines in ``again`` have in their prefix, those lines marked.
+
+    The lines' keys and then their words are sent to the tasks if they are few, so
+    that nothing else is shuffled; otherwise they are joined.
+    """
+
+    def all_rows(batches):
+        yield from _as_rows(prefixes()(batches))
+
+    keys = again.select("lines").distinct()
+    if keys.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
+        wanted = spark.sparkContext.broadcast(np.sort(keys.toArrow().column(0).to_numpy()))
+
+        def their_words(batches):
+            for t in prefixes()(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(t["word"][_member(t["lines"], wanted.value)]))], names=["word"])
+
+        words = materialize(rows.mapInArrow(their_words, "word bigint").distinct())
+        if words.limit(RANKED_WORDS + 1).count() <= RANKED_WORDS:
+            shared = spark.sparkContext.broadcast(np.sort(words.toArrow().column(0).to_numpy()))
+
+            def marked(batches):
+                for t in prefixes()(batches):
+                    keep = _member(t["word"], shared.value)
+                    t = {k: v[keep] for k, v in t.items()}
+                    yield from _as_rows([t | {"marked": _member(t["lines"], wanted.value)}])
+
+            return rows.mapInArrow(marked, f"{PREFIX}, marked boolean")
+    prefix = rows.mapInArrow(all_rows, PREFIX)
+    mine = prefix.join(keys.withColumn("marked", F.lit(True)), "lines")
+    theirs = prefix.join(mine.select("word").distinct(), "word", "left_semi").join(keys, "lines", "left_anti")
+    return mine.select(*prefix.columns, "marked").unionByName(theirs.select(*prefix.columns, F.lit(False).alias("marked")))
+
+
 def _verified(rows: DataFrame, found: DataFrame) -> DataFrame:
     """The sets of which a partner in ``found`` is alike enough, by the full word sets of both lines."""
     places = found.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")).unionAll(
