@@ -30,8 +30,8 @@ HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 7, 2
 BROADCAST_WORDS = 10_000_000
 #: Pairs that make up more than one in this many of all are in the table of frequent pairs, so it has at most as many rows.
 FREQUENT_PAIRS = 1 << 19
-TOKENS_AT_ONCE = 1 << 21
-ENTRIES_PER_PARTITION = 3_000_000
+TOKENS_AT_ONCE = 3 << 19
+ENTRIES_PER_PARTITION = 2_000_000
 BUCKETS = 64
 #: Ratios to the uniform probability are binned to a 40th of a power of ten for learning the weights.
 BINS = 40
@@ -74,19 +74,6 @@ def _local(known: list[tuple[int, int]] | None, documents: int) -> Vocabulary:
     return Vocabulary(np.array([w for w, _ in found], np.uint64), np.array([n for _, n in found], np.int64), documents)
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Compress integers byte plane by byte plane."""
-    v = np.ascontiguousarray(values)
-    planes = v.view(np.uint8).reshape(len(v), v.itemsize).T
-    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpack(data: bytes, n: int, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    raw = pa.decompress(data, n * size, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).reshape(n)
-
-
 def _key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return first.astype(np.int64) << 32 | second.astype(np.int64)
 
@@ -102,7 +89,7 @@ def _blobs(columns: list[np.ndarray], key: np.ndarray, parts: int):
     part, key, columns = part[order], key[order], [c[order] for c in columns]
     edge = np.flatnonzero(np.diff(part, prepend=-1))
     for lo, hi in zip(edge, np.append(edge[1:], len(part)), strict=True):
-        yield int(part[lo]), hi - lo, _pack(np.diff(key[lo:hi], prepend=0)), [_pack(c[lo:hi]) for c in columns]
+        yield int(part[lo]), hi - lo, common.pack(np.diff(key[lo:hi], prepend=0)), [common.pack(c[lo:hi]) for c in columns]
 
 
 class Weights:
@@ -146,7 +133,7 @@ def learn(cells: list[tuple[int, int, int, int]], rounds: int = 60) -> np.ndarra
     return table
 
 
-def _batches_of(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20):
+def _batches_of(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20):
     """Yield (record batch, first row, texts) in pieces of bounded size."""
     for batch in batches:
         for first, texts in common.text_chunks(batch.column(0), limit):
@@ -166,15 +153,17 @@ class Model:
         self.sent = None
         if self.distinct <= broadcast_words:
             found = counts.toArrow()
-            w = found.column("word").to_numpy().view(np.uint64)
+            w, n = found.column("word").to_numpy().view(np.uint64), found.column("n").to_numpy().astype(np.int32)
+            del found
             order = np.argsort(w)
-            self.sent = spark.sparkContext.broadcast((w[order], found.column("n").to_numpy()[order].astype(np.int32)))
+            self.sent = spark.sparkContext.broadcast((w[order], n[order]))
+            del w, n, order
             self.rows = rows.withColumn("known", F.lit(None).cast("array<struct<word:bigint,n:bigint>>"))
         else:
             self.rows = self._joined(rows, counts)
         self.distinct += self.documents > 0  # the end
-        self.parts = max(256, -(-self.tokens // (ENTRIES_PER_PARTITION // 4)))
-        self.partitions = max(1, self.parts // 4 if self.tokens > 50 * ENTRIES_PER_PARTITION else -(-self.tokens // ENTRIES_PER_PARTITION))
+        self.partitions = max(1, -(-self.tokens // ENTRIES_PER_PARTITION))
+        self.parts = max(64, 2 * self.partitions)
         self._count_pairs()
 
     def _joined(self, rows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -184,7 +173,7 @@ class Model:
         def words(batches):
             for batch in batches:
                 row = batch.column(1).to_numpy()
-                for first, texts in common.text_chunks(batch.column(0), 8 << 20):
+                for first, texts in common.text_chunks(batch.column(0)):
                     hashes, n = common.word_hashes(texts)
                     pair = np.unique(np.stack([np.repeat(row[first : first + len(texts)], n), hashes.view(np.int64)], axis=1), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["row", "word"])
@@ -297,6 +286,8 @@ class Model:
         chunks, parts, has_counts = self._chunks(), self.parts, self.sent is None
         sent, documents, tokens, distinct = self.sent, self.documents, self.tokens, self.distinct
         weights, frequent = self.weights, self.frequent
+        doc_parts = max(64, self.documents // 5_000)
+        doc_partitions = max(1, doc_parts // 16)
         rows = self.rows.select("text", "known", "doc_id", "text_hash", "held_out", "training")
 
         def looked_up(c1, c2, key):
@@ -343,7 +334,7 @@ class Model:
                 for part, m, keys, packed in _blobs(columns, key, parts):
                     out.append((part, m, keys, packed, None, None, None))
                 # the names go with every part, packed once
-                head = (len(ids), _pack(ids), _pack(hashes), np.packbits(train).tobytes())
+                head = (len(ids), common.pack(ids), common.pack(hashes), np.packbits(train).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()),
@@ -383,27 +374,51 @@ class Model:
                 values.append(weights.log10(pair, c1, c2) * n)
             if not ids:
                 return
-            ids, hashes, values = np.concatenate(ids), np.concatenate(hashes), np.concatenate(values)
-            order = np.lexsort((hashes, ids))
-            ids, hashes = ids[order], hashes[order]
-            at = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1]))))
+            ids, hashes, values = _summed(ids, hashes, values)
+            part = _part(ids ^ hashes, doc_parts)
+            order = np.argsort(part, kind="stable")
+            part, ids, hashes, values = part[order], ids[order], hashes[order], values[order]
+            edge = np.flatnonzero(np.diff(part, prepend=-1))
+            spans = list(zip(edge, np.append(edge[1:], len(part)), strict=True))
+            packed = [[common.pack(ids[lo:hi]), common.pack(hashes[lo:hi]), values[lo:hi].tobytes()] for lo, hi in spans]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[at]), pa.array(hashes[at]), pa.array(np.add.reduceat(values[order], at))], names=["id", "hash", "rest"]
+                [pa.array(part[edge]), pa.array([int(hi - lo) for lo, hi in spans], pa.int64()), pa.array(packed, pa.list_(pa.binary()))],
+                names=["part", "n", "columns"],
             )
 
+        def merged(batches):
+            """One sum for each text from the packed partial sums of all word pairs' parts."""
+            parts: dict[int, list] = {}
+            for batch in batches:
+                for part, n, columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    parts.setdefault(part, []).append((n, columns))
+            for blobs in parts.values():
+                ids, hashes = ([common.unpack(c[i], n, np.int64) for n, c in blobs] for i in (0, 1))
+                ids, hashes, values = _summed(ids, hashes, [np.frombuffer(c[2]) for _, c in blobs])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hashes), pa.array(values)], names=["id", "hash", "rest"])
+
         stats = rows.mapInArrow(
             per_row, "doc_id bigint, text_hash bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, part double"
         )
         rest = (
             rows.mapInArrow(pairs, "part bigint, n bigint, keys binary, more array<binary>, texts bigint, names array<binary>")
             .repartition(self.partitions, "part")
-            .mapInArrow(sums, "id bigint, hash bigint, rest double")
-            .groupBy("id", "hash")
-            .agg(F.sum("rest").alias("rest"))
+            .mapInArrow(sums, "part bigint, n bigint, columns array<binary>")
+            .repartition(doc_partitions, "part")
+            .mapInArrow(merged, "id bigint, hash bigint, rest double")
         )
         return stats, rest
 
 
+def _summed(ids: list, hashes: list, values: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values added up by (id, hash)."""
+    ids, hashes, values = np.concatenate(ids), np.concatenate(hashes), np.concatenate(values)
+    order = np.lexsort((hashes, ids))
+    ids, hashes = ids[order], hashes[order]
+    at = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1]))))
+    return ids[at], hashes[at], np.add.reduceat(values[order], at)
+
+
 def _merged(batches, columns: int):
     """The blobs of each part of a partition, one part at a time: key, counts (and the counts of both words)."""
     parts: dict[int, list] = {}
@@ -411,9 +426,9 @@ def _merged(batches, columns: int):
         for row in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
             parts.setdefault(row[0], []).append(row[1:])
     for rows in parts.values():
-        key = np.concatenate([np.cumsum(_unpack(k, n, np.int64)) for n, k, _ in rows])
+        key = np.concatenate([np.cumsum(common.unpack(k, n, np.int64)) for n, k, _ in rows])
         kinds = [np.uint32, np.int64, np.int64][:columns]
-        found = [np.concatenate([_unpack(m[i], n, kind) for n, _, m in rows]) for i, kind in enumerate(kinds)]
+        found = [np.concatenate([common.unpack(m[i], n, kind) for n, _, m in rows]) for i, kind in enumerate(kinds)]
         yield key, *found, *[None] * (3 - columns)
 
 
@@ -426,12 +441,12 @@ def _merged_texts(batches, columns: int):
     for rows in parts.values():
         out = [[] for _ in range(columns + 4)]
         for n, k, m, texts, names in rows:
-            out[0].append(np.cumsum(_unpack(k, n, np.int64)))
+            out[0].append(np.cumsum(common.unpack(k, n, np.int64)))
             for i, kind in enumerate([np.uint32, np.int64, np.int64][:columns]):
-                out[1 + i].append(_unpack(m[i], n, kind))
-            text = _unpack(m[columns], n, np.uint32)
-            out[-3].append(_unpack(names[0], texts, np.int64)[text])
-            out[-2].append(_unpack(names[1], texts, np.int64)[text])
+                out[1 + i].append(common.unpack(m[i], n, kind))
+            text = common.unpack(m[columns], n, np.uint32)
+            out[-3].append(common.unpack(names[0], texts, np.int64)[text])
+            out[-2].append(common.unpack(names[1], texts, np.int64)[text])
             out[-1].append(np.unpackbits(np.frombuffer(names[2], np.uint8), count=texts)[text].astype(np.int64))
         found = [np.concatenate(c) for c in out]
         yield *found[: 1 + columns], *[None] * (3 - columns), *found[-3:]
