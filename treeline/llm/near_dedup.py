@@ -7,10 +7,11 @@ links are found by large-star and small-star.
 
 Documents with equal sets are one class, of which only the smallest id goes on,
 so copies never meet. Within the buckets pairs are made in rounds: first each
-class with the smallest id it shares a bucket with, then with each bucket's own
-centre, at last, in buckets that still hold several components, every pair across
-components. A large group of near copies has become one component by then, so the
-pairs of a group are never all made, and no pair across components is left out.
+class with the smallest id it shares a bucket with; then, in buckets that hold
+several components, every member of the smaller ones with a random member of the
+largest, in each of its buckets; at last every remaining pair across components. A
+large group of near copies has become one component by then, so the pairs of a
+group are never all made, and no pair across components is left out.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ SIMILAR = 75
 BANDS, ROWS = 50, 5
 #: Signatures estimate likeness with a deviation under 0.03; pairs more than six of them below the threshold go.
 SIGNATURE_LEAST = 0.57
+#: Turns in which members of a bucket's smaller components meet a random member of its largest.
+RANDOM_ROUNDS = 2
 
 _r = np.random.RandomState(41)
 _MULTIPLY = _r.randint(1, 1 << 62, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -200,23 +203,27 @@ def _roots(rows: DataFrame, sketches: DataFrame, known: DataFrame, classes: Data
         rows_in.where("id != centre").groupBy("id").agg(F.min("centre").alias("a")).select("a", F.col("id").alias("b"))
     )
     roots = materialize(components(verified(tried, signed, sets)))
-    for last in (False, True):
+    for turn in range(RANDOM_ROUNDS + 1):
         # buckets that hold more than one component
-        held = materialize(
-            rows_in.join(roots, "id", "left").select("key", "id", "centre", F.coalesce("root", "id").alias("root"))
-        )
+        held = materialize(rows_in.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
         mixed = materialize(
             held.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
         )
         held = materialize(held.join(mixed, "key"))
-        if last:
+        if turn < RANDOM_ROUNDS:
+            # of each bucket's largest component one member, drawn anew for each bucket and turn
+            drawn = F.min_by("id", F.xxhash64(F.lit(turn), "key", "id"))
+            parts = held.groupBy("key", "root").agg(F.count(F.lit(1)).alias("many"), drawn.alias("member"))
+            largest = materialize(
+                parts.groupBy("key").agg(F.max(F.struct("many", "root", "member")).alias("l"))
+                .select("key", F.col("l.root").alias("root_"), F.col("l.member").alias("member"))
+            )
+            found = held.join(largest, "key").where("root != root_")
+            pairs = found.select(F.least("id", "member").alias("a"), F.greatest("id", "member").alias("b")).distinct()
+        else:
             other = held.select("key", F.col("id").alias("id_"), F.col("root").alias("root_"))
             found = held.join(other, "key").where((F.col("id") < F.col("id_")) & (F.col("root") != F.col("root_")))
             pairs = found.select(F.col("id").alias("a"), F.col("id_").alias("b")).distinct()
-        else:
-            centre = held.select(F.col("id").alias("centre"), F.col("root").alias("root_")).distinct()
-            found = held.where("id != centre").select("id", "centre", "root").distinct().join(centre, "centre")
-            pairs = found.where("root != root_").select(F.col("centre").alias("a"), F.col("id").alias("b"))
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionAll(pairs)
         links = verified(pairs, signed, sets)
@@ -239,3 +246,22 @@ def _roots(rows: DataFrame, sketches: DataFrame, known: DataFrame, classes: Data
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g
+  FROM d
+), u AS (SELECT doc_id, unnest(g) AS h FROM s),
+n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id),
+m AS (SELECT id, min(root) AS root FROM r GROUP BY 1)
+SELECT doc_id, n AS n_shingles, root AS component_id, doc_id = root AS kept FROM n JOIN m ON m.id = doc_id
+"""
