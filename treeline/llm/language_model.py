@@ -30,7 +30,7 @@ HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 7, 2
 BROADCAST_WORDS = 10_000_000
 #: Pairs that make up more than one in this many of all are in the table of frequent pairs, so it has at most as many rows.
 FREQUENT_PAIRS = 1 << 19
-TOKENS_AT_ONCE = 3 << 19
+TOKENS_AT_ONCE = 3 << 18
 ENTRIES_PER_PARTITION = 2_000_000
 BUCKETS = 64
 #: Ratios to the uniform probability are binned to a 40th of a power of ten for learning the weights.
@@ -231,7 +231,7 @@ class Model:
 
             size = 0
             for _, _, _, _, c1, c2, key in chunks(batches):
-                held.append((c1, c2, key))
+                held.append((c1, c2, key) if has_counts else (None, None, key))
                 size += len(key)
                 if size >= TOKENS_AT_ONCE:
                     yield from flush()
@@ -319,13 +319,14 @@ class Model:
             held, names, size = [], [], 0
 
             def flush():
-                key, text, c1, c2 = (np.concatenate([h[c] for h in held]) for c in range(4))
+                key, text = (np.concatenate([h[c] for h in held]) for c in (0, 1))
+                counts = [np.concatenate([h[c] for h in held]) for c in (2, 3)] if has_counts else []
                 order = np.lexsort((text, key))
                 key, text = key[order], text[order]
                 at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (text[1:] != text[:-1]))))
                 n = np.diff(np.append(at, len(key)))
                 key, text = key[at], text[at]
-                more = [c[order][at].astype(np.int64) for c in (c1, c2)] if has_counts else []
+                more = [c[order][at].astype(np.int64) for c in counts]
                 ids, hashes, train = (np.concatenate([x[c] for x in names]) for c in range(3))
                 held.clear()
                 names.clear()
@@ -349,7 +350,7 @@ class Model:
                 _, known = looked_up(c1, c2, key)
                 offset = sum(len(x[0]) for x in names)
                 rest = ~known
-                held.append((key[rest], text[rest] + offset, c1[rest], c2[rest]))
+                held.append((key[rest], (text[rest] + offset).astype(np.uint32), *((c1[rest], c2[rest]) if has_counts else ())))
                 ids = batch.column(2)[at : at + n].fill_null(-1).to_numpy(zero_copy_only=False)
                 names.append((ids, batch.column(3)[at : at + n].to_numpy(zero_copy_only=False), batch.column(5)[at : at + n].to_numpy(zero_copy_only=False)))
                 size += int(rest.sum())
@@ -369,9 +370,10 @@ class Model:
                 at = np.flatnonzero(head)
                 pair = np.add.reduceat(n * train, at)[np.cumsum(head) - 1]
                 c1, c2 = (counts[key >> 32], counts[key & 0xFFFFFFFF]) if counts is not None else (c1[order], c2[order])
+                name, hash_, value = _summed([name], [hash_], [weights.log10(pair, c1, c2) * n])
                 ids.append(name)
                 hashes.append(hash_)
-                values.append(weights.log10(pair, c1, c2) * n)
+                values.append(value)
             if not ids:
                 return
             ids, hashes, values = _summed(ids, hashes, values)
@@ -447,7 +449,7 @@ def _merged_texts(batches, columns: int):
             text = common.unpack(m[columns], n, np.uint32)
             out[-3].append(common.unpack(names[0], texts, np.int64)[text])
             out[-2].append(common.unpack(names[1], texts, np.int64)[text])
-            out[-1].append(np.unpackbits(np.frombuffer(names[2], np.uint8), count=texts)[text].astype(np.int64))
+            out[-1].append(np.unpackbits(np.frombuffer(names[2], np.uint8), count=texts)[text])
         found = [np.concatenate(c) for c in out]
         yield *found[: 1 + columns], *[None] * (3 - columns), *found[-3:]
 
