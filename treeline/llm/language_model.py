@@ -309,7 +309,7 @@ class Model:
                         *(batch.column(c)[at : at + n] for c in (2, 3, 4)),
                         pa.array(np.bincount(text, minlength=n).astype(np.int64)),
                         pa.array(np.bincount(text[c2 > 0], minlength=n).astype(np.int64)),
-                        pa.array(base), pa.array(part),
+                        pa.array(base, pa.float64()), pa.array(part.astype(np.float64)),  # bincount of nothing gives integers
                     ],
                     names=["doc_id", "text_hash", "held_out", "n_tokens", "n_known", "base_score", "part"],
                 )
@@ -466,7 +466,7 @@ def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     held_out = F.coalesce(common.crc_mod("doc_id", HELD_OUT_MODULUS) == HELD_OUT_REMAINDER, F.lit(False))
     rows = docs.select(
-        text.alias("text"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
+        text.alias("text"), docs["doc_id"].cast("long").alias("doc_id"), F.shiftright(F.xxhash64(text), 32).alias("text_hash"),
         held_out.alias("held_out"), (~held_out).alias("training"),
     )
     model = Model(rows, broadcast_words)
