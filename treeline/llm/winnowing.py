@@ -48,15 +48,15 @@ def selected(text: Column, k: int = K, levels: int = LEVELS) -> Column:
         )
 
     minima = let(units, lambda u: F.when(F.size(u) > 0, hashes(u)))
-    for level in range(levels):
-        step = 1 << level
+    def joined(step: int):
         # a window's minimum is the less of its halves' minima; null beyond the end
-        minima = let(
-            minima,
-            lambda m, step=step: F.zip_with(
-                m, F.slice(m, step + 1, F.greatest(F.size(m) - step, F.lit(0))), lambda a, b: F.least(a, b)
-            ),
+        # (no default arguments here: a second parameter of the lambda would be the element's index)
+        return lambda m: F.zip_with(
+            m, F.slice(m, F.lit(step + 1), F.greatest(F.size(m) - step, F.lit(0))), lambda a, b: F.least(a, b)
         )
+
+    for level in range(levels):
+        minima = let(minima, joined(1 << level))
     full = let(minima, lambda m: F.slice(m, 1, F.greatest(F.size(m) - (w - 1), F.lit(1))))
     return F.coalesce(F.array_distinct(full), F.expr("array()").cast("array<bigint>"))
 
