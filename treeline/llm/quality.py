@@ -124,7 +124,9 @@ class Network:
         g["dense"], g["dense_shift"] = features.T @ dh, dh.sum(axis=0)
         df = dh @ self.p["dense"].T
         owner = np.repeat(np.arange(len(counts)), counts)
-        peak = h == features[owner, FILTERS:]
+        peak = (h == features[owner, FILTERS:]).astype(np.float32)
+        starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
+        peak /= np.add.reduceat(peak, starts)[owner]  # chunks that share the maximum share its gradient
         dpool = df[owner, :FILTERS] / counts[owner, None] + df[owner, FILTERS:] * peak
         dpool *= live
         g["shift"] = dpool.sum(axis=0)
