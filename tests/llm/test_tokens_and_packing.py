@@ -145,3 +145,30 @@ def test_mixing(spark, seed):
         assert x.n_chars == len(x.text)
     assert words == {x.doc_id: x.taken for x in got if x.taken}
     assert repetitions(docs.limit(0)).count() == 0 and mix(docs.limit(0)).count() == 0
+
+
+def test_mixing_takes_whole_documents(spark):
+    texts = {i: " ".join(f"d{i}w{k}" for k in range(10 + i % 90)) for i in range(240)}
+    rows = [(i, "a" if i < 40 else "b", t) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    sizes = {s: sum(len(t.split()) for _, x, t in rows if x == s) for s in "ab"}
+    want = water(sizes, (1, 1), 3)
+    assert want["b"] < sizes["b"]  # a source of which not all is taken
+    drawn = []
+    for seed in (1, 2):
+        whole, cut, words = set(), [], {"a": 0, "b": 0}
+        for x in mix(docs, (1, 1), 3, seed).collect():
+            words[x.source] += len(x.text.split())
+            whole.add(x.doc_id) if x.text == texts[x.doc_id] else cut.append(x.source)
+        assert len(cut) == len(set(cut)) and words == {s: round(want[s]) for s in want}
+        drawn.append({i for i in whole if i >= 40})
+    assert drawn[0] != drawn[1]  # the seed decides which
+
+
+def test_mixing_repeated_rows(spark):
+    docs = spark.createDataFrame([(None, "a", "p q r s t")] * 60 + [(1, "b", "x y")] * 5, "doc_id bigint, source string, text string")
+    want = water({"a": 300, "b": 10}, (1, 1), 3)
+    got = mix(docs, (1, 1), 3).collect()
+    for s, text in (("a", "p q r s t"), ("b", "x y")):
+        found = [x.text for x in got if x.source == s]
+        assert sum(len(t.split()) for t in found) == round(want[s]) and sum(t != text for t in found) <= 1
