@@ -152,6 +152,20 @@ def test_line_dedup_looks_again(spark, monkeypatch, broadcast):
     assert found == {i: [0] if i == 7 else [] for i in range(8)}
 
 
+def test_line_dedup_rows_without_own_id(spark):
+    rows = [
+        (1, "one two three"), (None, "one two three\nfirst own line"), (None, "other words here\nsecond text stays"),
+        (7, "k l m\nn o p"), (7, "q r s\nk l m"), (7, "q r s\nk l m"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((x.doc_id or 0, x.text) for x in deduplicated(docs).collect())
+    assert got == [
+        (0, "first own line"), (0, "other words here\nsecond text stays"), (1, "one two three"), (7, "k l m\nn o p"), (7, "q r s")
+    ]
+    found = sorted((x.doc or 0, x.n_lines, list(x.removed)) for x in removed_lines(docs).collect())
+    assert found == [(0, 2, []), (0, 2, [0]), (1, 1, []), (7, 2, []), (7, 2, [0, 1]), (7, 2, [1])]
+
+
 def test_winnowing(spark):
     texts = corpus(6) + ["x" * 3000, "日本語" * 50]
     rows = {r.doc_id: r for r in fingerprints(frame(spark, texts)).collect()}

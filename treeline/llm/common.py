@@ -46,6 +46,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """Add ``row_``, an integer of each row's own in ascending (doc_id, text), null ids last.
+
+    It is the id itself if no two rows share one (a single null id is the largest
+    number). Otherwise all rows are sorted and numbered, and materialised for that.
+    """
+    key = F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1))
+    if not docs.groupBy(key.alias("row_")).count().where("count > 1").limit(1).count():
+        return docs.withColumn("row_", key)
+    # equal rows are told apart by where they stand, which leaves the result the same
+    ordered = docs.withColumn("at_", F.monotonically_increasing_id()).orderBy(key, "text", "at_").drop("at_")
+    return materialize(ordered.withColumn("row_", F.monotonically_increasing_id()))
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the id written as text, modulo ``modulus`` (null for a null id)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

@@ -35,7 +35,6 @@ PAIR_BLOCK = 1 << 21
 BROADCAST_LINES = 1 << 20
 ROWS_PER_PART = 100_000
 
-_LAST = (1 << 63) - 1
 PREFIX = "word bigint, doc bigint, line int, lines bigint, n int, at int, even bigint, odd bigint"
 KINDS = {"word": np.int64, "doc": np.int64, "line": np.int32, "lines": np.int64, "n": np.int32, "at": np.int32, "even": np.int64, "odd": np.int64}
 #: Prefix rows a task packs together.
@@ -295,16 +294,23 @@ def _ranked(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def removed_lines(docs: DataFrame, partners: int = PARTNERS) -> DataFrame:
-    """(doc, removed array<int>, n_lines): per document id the numbers (from 0) of the lines that go, and its lines with words.
+    """(doc, removed array<int>, n_lines): per row its doc_id, the numbers (from 0) of the lines that go, and its lines with words.
 
     Lines are separated by newlines; lines without words always stay. A null text
-    has no lines; rows with a null id come after all others; rows that share an id
-    are one document whose lines of the same number stay or go together. An empty
+    has no lines; rows with a null id come after all others. Every row is a document
+    of its own: rows of one id, or without one, follow each other by text. An empty
     table gives no rows.
     """
-    spark = docs.sparkSession
+    rows = common.with_rows(docs.select("doc_id", "text"))
+    found = _removed(rows, partners)
+    return rows.select("row_", F.col("doc_id").alias("doc")).join(found, "row_").select("doc", "removed", "n_lines")
+
+
+def _removed(numbered: DataFrame, partners: int = PARTNERS) -> DataFrame:
+    """(row_, removed, n_lines) of the rows with lines of ``numbered``, which has row_ and text."""
+    spark = numbered.sparkSession
     common.small_batches(spark)
-    rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias("doc"), docs["text"].cast("string").alias("text"))
+    rows = numbered.select(F.col("row_").alias("doc"), F.col("text").cast("string").alias("text"))
     words, counts, least = _ranked(rows)
     sent = spark.sparkContext.broadcast((words, counts))  # at most RANKED_WORDS entries of 12 bytes
 
@@ -336,7 +342,7 @@ def removed_lines(docs: DataFrame, partners: int = PARTNERS) -> DataFrame:
     stays = (F.col("doc") == F.col("doc_")) & (F.col("line") == F.col("line_")) & F.col("gone").isNull()
     return (
         lines.join(places, F.col("lines") == F.col("lines_"))
-        .groupBy("doc")
+        .groupBy(F.col("doc").alias("row_"))
         .agg(
             F.array_sort(F.collect_set(F.when(~stays, F.col("line")))).alias("removed"),
             F.count_distinct("line").alias("n_lines"),
@@ -406,11 +412,11 @@ def _verified(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without the removed lines; a document that had words and has none left goes."""
-    gone = removed_lines(docs).where(F.size("removed") > 0).select(F.col("doc").alias("doc_"), "removed", F.col("n_lines").alias("n_lines_"))
-    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST))
+    rows = common.with_rows(docs)
+    gone = _removed(rows).where(F.size("removed") > 0).select("row_", "removed", F.col("n_lines").alias("n_lines_"))
     kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("removed", i))
     out = (
-        docs.join(materialize(gone), key == F.col("doc_"), "left")
+        rows.join(materialize(gone), "row_", "left")
         .where(F.col("removed").isNull() | (F.size("removed") < F.col("n_lines_")))
         .withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     )
@@ -420,10 +426,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_lines (with words), n_removed, removed (line numbers from 0)."""
-    docs = common.read(spark, sf_dir, "documents", "doc_id", "text")
-    found = removed_lines(docs)
-    return docs.select("doc_id").join(materialize(found), F.coalesce("doc_id", F.lit(_LAST)) == F.col("doc"), "left").select(
+    """Per row: doc_id, n_lines (with words), n_removed, removed (line numbers from 0)."""
+    rows = common.with_rows(common.read(spark, sf_dir, "documents", "doc_id", "text"))
+    return rows.select("doc_id", "row_").join(materialize(_removed(rows)), "row_", "left").select(
         "doc_id",
         F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
