@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from treeline.llm import common
 from treeline.llm.line_dedup import deduplicated
@@ -26,9 +25,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; rows without an id stay."""
-    found = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(common.materialize(found), F.col("doc_id") == F.col("gone"), "left_anti")
+    """One row of each group of near-duplicates, rows without an id or of one id included."""
+    rows = common.with_rows(docs)
+    found = near_duplicates(rows, "row_").where("not kept").select("row_")
+    return rows.join(common.materialize(found), "row_", "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,6 +88,17 @@ def test_near_duplicates_edges(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_near_dedup_stage_keeps_one_row(spark):
+    import corpus_pipeline
+
+    t, u, v = "a b c d e f", "g h i j k l", "m n o p q r"
+    rows = [(None, t), (None, t), (5, u), (5, u), (7, u.upper()), (None, v), (8, v), (None, None), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((x.doc_id or 0, x.text or "") for x in got.collect()) == [(0, ""), (0, t), (5, u), (8, v), (9, "")]
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(0, k) for k in range(300, 340)] + [(k, k + 1) for k in range(400, 420)]
