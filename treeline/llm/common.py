@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,40 +28,111 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+#: Bytes of texts that go through one numpy step.
+CHUNK = 1 << 20
+#: Bytes of an Arrow batch that carries whole texts.
+BATCH_BYTES = 4 << 20
+#: Folders written inside the open ``scratch`` scopes, the innermost last.
+_scopes: list[list[str]] = []
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset a local one, with a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='treeline-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _own:
+        _own.append(f"file://{tempfile.mkdtemp(prefix='treeline-')}")
+    return _own[0]
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/treeline-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables materialised inside go at the end, but for those given to the yielded function.
+
+    A kept table belongs to the enclosing scope, if there is one. Batches of texts
+    are small inside; the session's settings are as before afterwards.
+    """
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = materialize(df)
+        kept.append(_scopes[-1].pop())
+        return out
+
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    _scopes.append([])
+    try:
+        yield keep
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+        if _scopes:
+            _scopes[-1].extend(kept)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        release(spark)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished queries now; it acts when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch holds when rows carry whole texts."""
+    """Bound what one Arrow batch holds when rows carry whole texts, for plans that run later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that ``df`` does not have, whatever the case, one for each stem."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        name = f"{stem}_"
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """Add ``row_``, an integer of each row's own in ascending (doc_id, text), null ids last.
+def with_rows(docs: DataFrame, name: str = "row_") -> DataFrame:
+    """Add column ``name``, an integer of each row's own in ascending (doc_id, text), null ids last.
 
     It is the id itself if no two rows share one (a single null id is the largest
     number). Otherwise all rows are sorted and numbered, and materialised for that.
     """
-    key = F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1))
-    if not docs.groupBy(key.alias("row_")).count().where("count > 1").limit(1).count():
-        return docs.withColumn("row_", key)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    many = docs.select(key.alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not many.limit(1).count():
+        return docs.withColumn(name, key)
     # equal rows are told apart by where they stand, which leaves the result the same
-    ordered = docs.withColumn("at_", F.monotonically_increasing_id()).orderBy(key, "text", "at_").drop("at_")
-    return materialize(ordered.withColumn("row_", F.monotonically_increasing_id()))
+    (at,) = unused(docs, "at")
+    ordered = docs.withColumn(at, F.monotonically_increasing_id()).orderBy(key, "text", at).drop(at)
+    return materialize(ordered.withColumn(name, F.monotonically_increasing_id()))
 
 
 def crc_mod(column: str, modulus: int):
@@ -116,43 +191,54 @@ def unpack(data: bytes, n: int, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).reshape(n)
 
 
-def text_chunks(column: pa.Array, limit: int = 1 << 20):
-    """Yield (first row, texts as bytes) of about ``limit`` bytes; null counts as empty; a text is never split."""
-    texts, size, first = [], 0, 0
-    for k, value in enumerate(column.cast(pa.large_binary()).to_pylist()):
-        value = value or b""
-        if texts and size + len(value) > limit:
-            yield first, texts
-            texts, size, first = [], 0, k
-        texts.append(value)
-        size += len(value) + 1
-    if texts:
-        yield first, texts
-
-
-def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (A-Z lower-cased), where they start, and the buffer of the texts, each ended by a newline."""
-    joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    space = _IS_SPACE[joined]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if not space[0]:
-        edge = np.concatenate(([0], edge))
-    starts, ends = edge[::2], edge[1::2]
-    power, inverse = _power_tables(len(joined) + 1)
-    value = _BYTE_VALUE[joined]
-    value *= power[: len(joined)]
-    total = np.cumsum(value, dtype=np.uint64)
-    # the byte before a word is white space and adds nothing, so total[start - 1] is the sum up to the word
-    before = np.where(starts > 0, total[starts - 1], np.uint64(0))
-    hashes = mix64((total[ends - 1] - before) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return hashes, starts, joined
+def text_slices(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of about ``limit`` bytes each, as slices; null counts as empty; a text is never split."""
+    texts = column.cast(pa.large_string()).fill_null("")
+    edges = np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy() + 1))) if len(texts) else [0]
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + limit, side="right")) - 1)
+        yield lo, texts.slice(lo, hi - lo)
+        lo = hi
+
+
+def text_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
+    """The same as lists of bytes."""
+    for first, texts in text_slices(column, limit):
+        yield first, texts.cast(pa.large_binary()).to_pylist()
+
+
+def hash_strings(strings: pa.Array) -> np.ndarray:
+    """64-bit hashes of large strings without white space (A-Z count as a-z)."""
+    if not len(strings):
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    power, inverse = _power_tables(len(data) + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUE[data] * power[: len(data)], dtype=np.uint64)))
+    starts, ends = offsets[:-1], offsets[1:]
+    return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of large strings, A-Z lower-cased: each one's number in the distinct words, how many each text has, the distinct words' hashes."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = split.flatten().dictionary_encode()
+    code, n = coded.indices.to_numpy(), np.diff(split.offsets.to_numpy())
+    # leading or trailing white space gives empty strings
+    empty = pc.index(coded.dictionary, pa.scalar("", pa.large_string())).as_py()
+    if empty >= 0:
+        real = code != empty
+        n = np.diff(np.concatenate(([0], np.cumsum(real)))[np.concatenate(([0], np.cumsum(n)))])
+        code = code[real]
+    return code, n, hash_strings(coded.dictionary)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The words' hashes, and how many words each text has."""
-    hashes, starts, _ = words_of(texts)
-    limits = np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.diff(np.searchsorted(starts, limits), prepend=0)
+    code, n, hashes = words_of(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+    return hashes[code], n
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:

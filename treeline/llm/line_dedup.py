@@ -2,15 +2,21 @@
 
 A line is the set of its words. Its words are ordered by rarity, so that two
 lines of likeness t or more share one of their rarest n - ceil(t * n) + 1 words:
-the prefix. Lines are dealt by prefix words; pairs in a bucket pass a length, a
-positional and a parity filter, which never drop a true pair, and are verified on
-the full sets. A line goes when an earlier line (by document, then line number)
-matches it, whether that one stays or goes.
+the prefix. The first lines of the distinct sets are dealt by prefix words; a
+pair in a bucket passes a positional filter, which takes the shared word as the
+first that the two share and so holds the length filter as well, and a parity
+filter. Neither drops a true pair: each has one bucket whose word is its first
+shared one. Survivors are verified on the full sets. A line goes when an earlier
+line (by document, then line number) matches it, whether that one stays or goes.
 
 For each line and bucket only the earliest few passing partners are sent on, as
-one match decides; a line none of whose partners is verified, but which has more,
-is looked at again with all of them. So a large group of like lines makes no pairs
-among itself, and no line is left undecided.
+one match decides. A line none of whose partners is verified, but which has more,
+is looked at again with many times as many, until it is decided. So a large group
+of like lines makes no pairs among itself, and no line is left undecided.
+
+Rarity is the count, over all texts, of the words that share a hash bucket; any
+fixed order gives the same result, so the table's size need not grow with the
+corpus. Words are 64-bit hashes, sets are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,224 +33,300 @@ from treeline.llm import common
 from treeline.llm.common import materialize
 
 SIMILAR = 75
-#: Words whose counts are sent to every task, at most; all others count as rarer than these.
-RANKED_WORDS = 1 << 21
-#: Partners sent on at first for a line in a bucket.
-PARTNERS = 3
+#: Hash buckets of the table of counts, one byte each where it is sent to every task.
+COUNTED = 1 << 23
+#: Parts of that table when it is summed.
+RANGES = 256
+#: Partners sent on at first for a line in a bucket, and how many times as many in each further look.
+PARTNERS, MORE = 1, 16
+#: Words counted this often or more are dealt by word and line length.
+HOT_COUNT = 1 << 15
 #: Pairs compared at a time.
-PAIR_BLOCK = 1 << 21
+PAIR_BLOCK = 1 << 19
+#: Lines or words sent to every task, at most; beyond, they are joined.
 BROADCAST_LINES = 1 << 20
+#: Prefix rows in a part, about.
 ROWS_PER_PART = 100_000
-
-PREFIX = "word bigint, doc bigint, line int, lines bigint, n int, at int, even bigint, odd bigint"
-KINDS = {"word": np.int64, "doc": np.int64, "line": np.int32, "lines": np.int64, "n": np.int32, "at": np.int32, "even": np.int64, "odd": np.int64}
 #: Prefix rows a task packs together.
 ROWS_AT_ONCE = 1 << 20
 
+KINDS = {"cell": np.int64, "doc": np.int64, "line": np.int32, "key": np.int64, "n": np.int32, "at": np.int32, "even": np.int64, "odd": np.int64, "home": np.int8}
+PREFIX = "cell bigint, doc bigint, line int, key bigint, n int, at int, even bigint, odd bigint, home tinyint"
+#: Lengths where a size band ends: two lines of likeness SIMILAR are in the same band or in neighbours.
+_BANDS = (100 / SIMILAR) ** np.arange(1, 80)
+_SECOND = np.uint64(0x5851F42D4C957F2D)
+
+
+def _level(counts: np.ndarray) -> np.ndarray:
+    """One byte that grows with the count: itself below 100, then five steps for each doubling."""
+    high = 100 + np.floor(5 * np.log2(np.maximum(counts, 100) / 100))
+    return np.where(counts < 100, counts, np.minimum(high, 255)).astype(np.uint8)
+
+
+HOT = int(_level(np.array([HOT_COUNT]))[0])
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - COUNTED.bit_length() + 1)).astype(np.int64)
+
 
 class LineSets:
-    """The word sets of the lines of some texts. Lines without words are left out."""
-
-    def __init__(self, texts: list[bytes]):
-        hashes, starts, joined = common.words_of(texts)
-        newline = np.cumsum(joined == 10)
-        line = newline[starts] - (joined[starts] == 10)
-        order = np.lexsort((hashes, line))
-        line, word = line[order], hashes[order]
-        first = np.ones(len(line), bool)
-        first[1:] = (line[1:] != line[:-1]) | (word[1:] != word[:-1])
-        self.word, line = word[first], line[first]
-        # which text a line is in, and its number there
-        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-        begins = np.concatenate(([0], newline[ends]))[: len(texts)] if len(texts) else ends
+    """The word sets of the lines of some texts, each ordered by rarity. Lines without words are left out."""
+
+    def __init__(self, texts: pa.Array, levels: np.ndarray | None = None):
+        split = pc.split_pattern(texts, "\n")
+        per_text = np.diff(split.offsets.to_numpy())
+        code, n, hashes = common.words_of(split.flatten())
+        self.counted = np.bincount(code, minlength=len(hashes)), hashes
+        level = levels[_bucket(hashes)] if levels is not None else np.zeros(len(hashes), np.uint8)
+        order = np.lexsort((hashes, level))
+        rank = np.empty(len(hashes), np.int64)
+        rank[order] = np.arange(len(hashes))
+        # (line, rank) in one integer: sorting it orders each line's words, and equal ones meet
+        spread = np.int64(max(1, len(hashes)))
+        both = np.repeat(np.arange(len(n), dtype=np.int64) * spread, n) + rank[code]
+        both.sort()
+        both = both[np.diff(both, prepend=-1) != 0]
+        line, self.at = both // spread, order[both % spread]
+        self.hashes, self.level = hashes, level
         self.starts = np.flatnonzero(np.diff(line, prepend=-1))
         self.n = np.diff(np.append(self.starts, len(line)))
-        lines = line[self.starts]
-        self.text = np.searchsorted(begins, lines, side="right") - 1
-        self.number = (lines - begins[self.text]).astype(np.int32)
+        line = line[self.starts]
+        ends = np.cumsum(per_text)
+        self.text = np.searchsorted(ends, line, side="right")
+        self.number = (line - (ends - per_text)[self.text]).astype(np.int32)
 
     def __len__(self) -> int:
         return len(self.starts)
 
+    def _sums(self, values: np.ndarray) -> np.ndarray:
+        if not len(self):
+            return np.zeros(0, np.int64)
+        return common.mix64(np.add.reduceat(values[self.at], self.starts) + self.n.astype(np.uint64)).view(np.int64)
+
     def keys(self) -> np.ndarray:
         """64-bit identity of each line's set."""
-        if not len(self):
-            return np.zeros(0, np.uint64)
-        return common.mix64(np.add.reduceat(common.mix64(self.word), self.starts) + self.n.astype(np.uint64))
+        return self._sums(common.mix64(self.hashes))
+
+    def second_keys(self) -> np.ndarray:
+        """64 bits more of it."""
+        return self._sums(common.mix64(self.hashes ^ _SECOND))
 
-    def parities(self) -> tuple[np.ndarray, np.ndarray]:
+    def parities(self) -> list[np.ndarray]:
         """128 bits: the parity of the number of words in each of 128 groups of words."""
-        if not len(self):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        bit = np.uint64(1) << (self.word & np.uint64(63))
-        high = (self.word & np.uint64(64)) != 0
-        return (
-            np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), self.starts),
-            np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), self.starts),
-        )
+        bit = np.uint64(1) << (self.hashes & np.uint64(63))
+        high = (self.hashes & np.uint64(64)) != 0
+        return [
+            np.bitwise_xor.reduceat(np.where(high == side, bit, np.uint64(0))[self.at], self.starts).view(np.int64)
+            for side in (False, True)
+        ]
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, line, lines): each line's place and set."""
+def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, line, key, key2, n) of each line; then, by range of hash buckets, the words counted (part, size, buckets, counts)."""
+    total = np.zeros(COUNTED, np.uint32)
     for batch in batches:
         docs = batch.column(0).to_numpy(zero_copy_only=False)
-        for first, texts in common.text_chunks(batch.column(1)):
+        for first, texts in common.text_slices(batch.column(1)):
             s = LineSets(texts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs[first + s.text]), pa.array(s.number), pa.array(s.keys().view(np.int64))],
-                names=["doc", "line", "lines"],
-            )
+            np.add.at(total, _bucket(s.counted[1]), s.counted[0].astype(np.uint32))
+            if len(s):
+                yield _rows(doc=docs[first + s.text], line=s.number, key=s.keys(), key2=s.second_keys(), n=s.n.astype(np.int32))
+    at = np.flatnonzero(total)
+    edges = np.searchsorted(at, np.arange(RANGES + 1) * (COUNTED // RANGES))
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        own = at[edges[k] : edges[k + 1]]
+        yield _rows(
+            part=np.array([k], np.int32), size=np.array([len(own)], np.int32),
+            buckets=pa.array([common.pack(np.diff(own, prepend=0).astype(np.int32))]), counts=pa.array([common.pack(total[own])]),
+        )
+
+
+FIRST = {"doc": pa.int64(), "line": pa.int32(), "key": pa.int64(), "key2": pa.int64(), "n": pa.int32(), "part": pa.int32(), "size": pa.int32(), "buckets": pa.binary(), "counts": pa.binary()}
+FIRST_SCHEMA = "doc bigint, line int, key bigint, key2 bigint, n int, part int, size int, buckets binary, counts binary"
+
+
+def _rows(**columns) -> pa.RecordBatch:
+    length = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[k], kind) if k in columns else pa.nulls(length, kind) for k, kind in FIRST.items()], names=list(FIRST)
+    )
 
 
-def _prefixes(words: np.ndarray, counts: np.ndarray, least: int):
-    """Columns of (word, place, set, size, position, parities) for the prefix words of each distinct line of a batch."""
+def _levels_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, levels): the summed counts of a range, as one byte for each bucket."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, size, buckets, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = sums.setdefault(part, np.zeros(COUNTED // RANGES, np.int64))
+            own[np.cumsum(common.unpack(buckets, size, np.int32).astype(np.int64)) - part * len(own)] += common.unpack(counts, size, np.uint32)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(sums), pa.int32()), pa.array([_level(v).tobytes() for v in sums.values()], pa.binary())], names=["part", "levels"]
+    )
+
+
+def _levels(first: DataFrame) -> np.ndarray:
+    """The table of levels: COUNTED bytes, whatever the corpus."""
+    found = np.zeros((RANGES, COUNTED // RANGES), np.uint8)
+    blobs = first.where("part is not null").select("part", "size", "buckets", "counts")
+    for part, levels in blobs.repartition(RANGES // 4, "part").mapInArrow(_levels_of, "part int, levels binary").collect():
+        found[part] = np.frombuffer(levels, np.uint8)
+    return found.reshape(-1)
+
+
+def _prefixes(levels: np.ndarray):
+    """The columns KINDS of the prefix words of the distinct lines of some batches; the same set is sent on once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+        held, size, known = [], 0, 0
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, texts in common.text_chunks(batch.column(1)):
-                s = LineSets(texts)
+            for first, texts in common.text_slices(batch.column(1)):
+                s = LineSets(texts, levels)
                 if not len(s):
                     continue
-                at = np.minimum(np.searchsorted(words, s.word), max(0, len(words) - 1))
-                count = np.where(words[at] == s.word, counts[at], 0) if len(words) else np.zeros(len(s.word), np.int64)
-                line = np.repeat(np.arange(len(s)), s.n)
-                order = np.lexsort((s.word, count, line))  # rarest first; ties by hash
-                word, count = s.word[order], count[order]
-                position = np.arange(len(word)) - s.starts[line]
-                keep = position < (s.n - -(-SIMILAR * s.n // 100) + 1)[line]
-                if least <= 2:
-                    keep &= count > 0  # a word that occurs once is in no other line
-                doc = docs[first + s.text]
-                keys = s.keys()
-                # of equal lines in the chunk the earliest alone goes on
-                by = np.lexsort((s.number, doc, keys))
-                once = np.zeros(len(s), bool)
-                once[by[np.flatnonzero(np.diff(keys[by], prepend=keys[by[0]] + np.uint64(1)))]] = True
-                keep &= once[line]
-                line = line[keep]
+                take = s.n - -(-SIMILAR * s.n // 100) + 1
+                line = np.repeat(np.arange(len(s)), take)
+                at = np.arange(len(line)) - np.repeat(np.cumsum(take) - take, take)
+                word = s.at[s.starts[line] + at]
+                keep = s.level[word] > 1  # a word that occurs once is in no other line
+                line, at, word = line[keep], at[keep], word[keep]
                 even, odd = s.parities()
-                yield {
-                    "word": word[keep].view(np.int64), "doc": doc[line].astype(np.int64), "line": s.number[line], "lines": keys[line].view(np.int64),
-                    "n": s.n[line].astype(np.int32), "at": position[keep].astype(np.int32), "even": even[line].view(np.int64), "odd": odd[line].view(np.int64),
-                }
+                held.append({
+                    "doc": docs[first + s.text].astype(np.int64), "line": s.number, "key": s.keys(), "n": s.n.astype(np.int32), "even": even, "odd": odd,
+                    "of": line + known, "at": at.astype(np.int32), "word": s.hashes[word], "hot": s.level[word] >= HOT,
+                })
+                size, known = size + len(line), known + len(s)
+                if size >= ROWS_AT_ONCE:
+                    yield flushed(held)
+                    size = known = 0
+        if held:
+            yield flushed(held)
+
+    def flushed(held: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+        t = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+        held.clear()
+        line, at, word, hot = (t.pop(k) for k in ("of", "at", "word", "hot"))
+        lines = t
+        # of equal sets the earliest line alone goes on
+        by = np.lexsort((lines["line"], lines["doc"], lines["n"], lines["key"]))
+        once = np.zeros(len(by), bool)
+        once[by] = np.concatenate(([True], (np.diff(lines["key"][by]) != 0) | (np.diff(lines["n"][by]) != 0)))
+        keep = once[line]
+        line, at, word, hot = line[keep], at[keep], word[keep], hot[keep]
+        home = np.ones(len(line), np.int8)
+        if hot.any():
+            # rows of hot words go to the cell of their size band and, as visitors, to the next one's
+            band = np.searchsorted(_BANDS, lines["n"][line[hot]], side="right").astype(np.uint64)
+            own, other = (common.mix64(word[hot] + (band + np.uint64(k)) * _SECOND) for k in (1, 2))
+            word = np.concatenate((word, other))
+            word[:-len(other)][hot] = own
+            line, at = np.concatenate((line, line[hot])), np.concatenate((at, at[hot]))
+            home = np.concatenate((home, np.zeros(len(other), np.int8)))
+        return {"cell": word.view(np.int64), "at": at, "home": home} | {k: v[line] for k, v in lines.items()}
 
     return run
 
 
 def _as_rows(tables) -> Iterator[pa.RecordBatch]:
     for t in tables:
-        yield pa.RecordBatch.from_arrays([pa.array(v) for v in t.values()], names=list(t))
+        names = [k for k in (*KINDS, "marked") if k in t]
+        yield pa.RecordBatch.from_arrays([pa.array(t[k]) for k in names], names=names)
 
 
 def _as_blobs(tables, parts: int) -> Iterator[pa.RecordBatch]:
-    """(part, n, columns): prefix rows dealt by word, packed column by column."""
-    held, size = [], 0
-
-    def flush():
-        t = {k: np.concatenate([h[k] for h in held]) for k in KINDS}
-        held.clear()
-        part = (common.mix64(t["word"].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((t["word"], part))
-        part, t = part[order], {k: v[order] for k, v in t.items()}
+    """(part, rows, columns): prefix rows dealt by cell, packed column by column."""
+    for t in tables:
+        if not len(t["cell"]):
+            continue
+        part = (common.mix64(t["cell"].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((t["cell"], part))
+        part = part[order]
+        t = {k: t[k][order] for k in KINDS}
         edge = np.flatnonzero(np.diff(part, prepend=-1))
-        spans = list(zip(edge, np.append(edge[1:], len(part)), strict=True))
-        packed = [[common.pack(np.diff(v[lo:hi], prepend=0) if k == "word" else v[lo:hi]) for k, v in t.items()] for lo, hi in spans]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(part[edge]), pa.array([int(hi - lo) for lo, hi in spans], pa.int64()), pa.array(packed, pa.list_(pa.binary()))],
+        spans = list(zip(edge.tolist(), [*edge[1:].tolist(), len(part)], strict=True))
+        packed = [[common.pack(np.diff(v[lo:hi], prepend=0) if k == "cell" else v[lo:hi]) for k, v in t.items()] for lo, hi in spans]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part[edge]), pa.array([hi - lo for lo, hi in spans], pa.int64()), pa.array(packed, pa.list_(pa.binary()))],
             names=["part", "rows", "columns"],
         )
 
-    for t in tables:
-        if len(t["word"]):
-            held.append(t)
-            size += len(t["word"])
-        if size >= ROWS_AT_ONCE:
-            yield flush()
-            size = 0
-    if held:
-        yield flush()
-
 
 def _from_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """The prefix rows of each part of a partition, one part at a time."""
+    """The prefix rows of each part of a partition, one part at a time; packed until then."""
     held: dict[int, list] = {}
     for batch in batches:
         for part, n, columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             held.setdefault(part, []).append((n, columns))
     while held:
         _, blobs = held.popitem()
-        t = {k: np.concatenate([common.unpack(c[i], n, kind) for n, c in blobs]) for i, (k, kind) in enumerate(KINDS.items()) if k != "word"}
-        t["word"] = np.concatenate([np.cumsum(common.unpack(c[0], n, np.int64)) for n, c in blobs])
+        t = {k: np.concatenate([common.unpack(c[i], n, kind) for n, c in blobs]) for i, (k, kind) in enumerate(KINDS.items()) if k != "cell"}
+        t["cell"] = np.concatenate([np.cumsum(common.unpack(c[0], n, np.int64)) for n, c in blobs])
         yield t
 
 
 def _from_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """The rows of a partition of bounded size."""
+    """The rows of a partition."""
     held = [b for b in batches if b.num_rows]
     if held:
         table = pa.Table.from_batches(held)
         yield {k: table.column(k).to_numpy() for k in table.column_names}
 
 
-CANDIDATE = "lines bigint, doc_b bigint, line_b int, doc_a bigint, line_a int, more boolean"
+CANDIDATE = "cell bigint, doc_b bigint, line_b int, doc_a bigint, line_a int, more boolean"
 
 
-def _partners(marked_only: bool, limit: int):
-    """For each line of each bucket its earliest ``limit`` passing partners (all if 0)."""
+def _partners(read, limit: int):
+    """For each line (each marked one, where lines are marked) of each cell its earliest ``limit`` passing partners, and whether it has more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _from_rows(batches) if marked_only else _from_blobs(batches):
+        for c in read(batches):
             yield from compare(c)
 
     def compare(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((c["line"], c["doc"], c["word"]))
+        order = np.lexsort((c["line"], c["doc"], c["cell"]))
+        cell, key, n = c["cell"][order], c["key"][order], c["n"][order]
+        # of equal sets in a cell the earliest
+        same = (common.mix64(key.view(np.uint64)) + cell.view(np.uint64)).argsort(kind="stable")
+        again = np.zeros(len(order), bool)
+        again[same[1:]] = (key[same[1:]] == key[same[:-1]]) & (cell[same[1:]] == cell[same[:-1]]) & (n[same[1:]] == n[same[:-1]])
+        order = order[~again]
         c = {k: v[order] for k, v in c.items()}
-        # of equal sets in a bucket the earliest
-        by = np.lexsort((np.arange(len(order)), c["lines"], c["word"]))
-        fresh = np.ones(len(by), bool)
-        fresh[1:] = (c["word"][by][1:] != c["word"][by][:-1]) | (c["lines"][by][1:] != c["lines"][by][:-1])
-        keep = np.sort(by[fresh])
-        c = {k: v[keep] for k, v in c.items()}
+        n, at, home = c["n"], c["at"], c["home"] > 0
         even, odd = c["even"].view(np.uint64), c["odd"].view(np.uint64)
-        starts = np.flatnonzero(np.concatenate(([True], c["word"][1:] != c["word"][:-1])))
-        begin = np.repeat(starts, np.diff(np.append(starts, len(keep))))
-        rank = np.arange(len(keep)) - begin
-        if marked_only:
+        starts = np.flatnonzero(np.concatenate(([True], c["cell"][1:] != c["cell"][:-1])))
+        begin = np.repeat(starts, np.diff(np.append(starts, len(order))))
+        rank = np.arange(len(order)) - begin
+        if "marked" in c:
             rank = np.where(c["marked"], rank, 0)
         edges = np.concatenate(([0], np.cumsum(rank)))
         lo = 0
-        while lo < len(keep):
+        while lo < len(order):
             hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + PAIR_BLOCK, side="right")) - 1)
             count = rank[lo:hi]
             b = np.repeat(np.arange(lo, hi), count)
-            a = np.arange(edges[lo], edges[hi]) - np.repeat(edges[lo:hi], count) + begin[b]
+            a = np.arange(edges[lo], edges[hi]) - np.repeat(edges[lo:hi] - begin[lo:hi], count)
             lo = hi
-            na, nb = c["n"][a], c["n"][b]
-            ok = np.minimum(na, nb) * 100 >= np.maximum(na, nb) * SIMILAR
-            a, b, na, nb = a[ok], b[ok], na[ok], nb[ok]
-            # the words from the shared one on bound the overlap; the words before it may all differ
-            overlap = 1 + np.minimum(na - c["at"][a] - 1, nb - c["at"][b] - 1) + np.minimum(c["at"][a], c["at"][b])
-            ok = overlap * (100 + SIMILAR) >= SIMILAR * (na + nb)
-            a, b, na, nb = a[ok], b[ok], na[ok], nb[ok]
+            na, nb = n[a], n[b]
+            # as the first word that both have, it leaves room for the overlap that the likeness takes
+            least = -(-SIMILAR * (na + nb) // (100 + SIMILAR))
+            ok = (at[a] + least <= na) & (at[b] + least <= nb) & (home[a] | home[b])
+            a, b = a[ok], b[ok]
             differ = np.bitwise_count(even[a] ^ even[b]).astype(np.int32) + np.bitwise_count(odd[a] ^ odd[b])
-            ok = differ * (100 + SIMILAR) <= (100 - SIMILAR) * (na + nb)
+            ok = differ * (100 + SIMILAR) <= (100 - SIMILAR) * (n[a] + n[b])
             a, b = a[ok], b[ok]
             if not len(a):
                 continue
             heads = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
             sizes = np.diff(np.append(heads, len(b)))
             which = np.arange(len(b)) - np.repeat(heads, sizes)
-            more = np.repeat(sizes > limit, sizes) if limit else np.zeros(len(b), bool)
-            ok = which < limit if limit else np.ones(len(b), bool)
-            a, b, more = a[ok], b[ok], more[ok]
+            ok = which < limit
+            more = np.repeat(sizes > limit, sizes)[ok]
+            a, b = a[ok], b[ok]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(c["lines"][b]), pa.array(c["doc"][b]), pa.array(c["line"][b]),
-                    pa.array(c["doc"][a]), pa.array(c["line"][a]), pa.array(more),
-                ],
-                names=["lines", "doc_b", "line_b", "doc_a", "line_a", "more"],
-            )
+                [pa.array(v) for v in (c["cell"][b], c["doc"][b], c["line"][b], c["doc"][a], c["line"][a], more)],
+                names=["cell", "doc_b", "line_b", "doc_a", "line_a", "more"],
+            )
 
     return run
 
@@ -251,15 +334,18 @@ def _partners(marked_only: bool, limit: int):
 def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The word sets of the wanted lines of each text."""
     for batch in batches:
-        docs, wanted = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
-        for first, texts in common.text_chunks(batch.column(1)):
+        docs, wanted = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+        sizes = pc.list_value_length(wanted).to_numpy()
+        flat, edges = wanted.flatten().to_numpy(), np.concatenate(([0], np.cumsum(sizes)))
+        for first, texts in common.text_slices(batch.column(1)):
             s = LineSets(texts)
-            numbers = s.number.tolist()
-            at = [i for i, t in enumerate(s.text.tolist()) if numbers[i] in wanted[first + t]]
+            last = first + len(texts)
+            asked = (np.repeat(np.arange(len(texts)), sizes[first:last]) << 32) + flat[edges[first] : edges[last]]
+            at = np.flatnonzero(np.isin((s.text << 32) + s.number, asked))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(docs[first + s.text[at]]), pa.array(s.number[at]),
-                    pa.array([s.word[s.starts[i] : s.starts[i] + s.n[i]].tobytes() for i in at], pa.binary()),
+                    pa.array([np.sort(s.hashes[s.at[s.starts[i] : s.starts[i] + s.n[i]]]).tobytes() for i in at.tolist()], pa.binary()),
                 ],
                 names=["doc", "line", "words"],
             )
@@ -268,29 +354,13 @@ def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
+            joined = np.concatenate((x, y))
+            joined.sort()
+            both = int(np.count_nonzero(joined[1:] == joined[:-1]))
             keep.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
-        yield batch.select([0]).filter(pa.array(keep, pa.bool_()))
-
-
-def _ranked(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes (sorted) and counts of the words that occur ``least`` times or more: 2, or as many as keeps them few enough."""
-    counts = materialize(common.count_words(rows).where("n > 1"))
-    least, total = 2, 0
-    # how many words occur at least 2**k times, from the most frequent down
-    by_power = counts.groupBy(F.floor(F.log2("n")).alias("k")).count().collect()  # a few dozen rows
-    for k, n in sorted(map(tuple, by_power), reverse=True):
-        total += n
-        if total > RANKED_WORDS:
-            least = 1 << (k + 1)
-            break
-    found = counts.where(F.col("n") >= least).toArrow()
-    words, n = (found.column(c).to_numpy() for c in ("word", "n"))
-    words = words.view(np.uint64)
-    order = np.argsort(words)
-    return words[order], n[order].astype(np.int32), least
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
 def removed_lines(docs: DataFrame, partners: int = PARTNERS) -> DataFrame:
@@ -298,58 +368,72 @@ def removed_lines(docs: DataFrame, partners: int = PARTNERS) -> DataFrame:
 
     Lines are separated by newlines; lines without words always stay. A null text
     has no lines; rows with a null id come after all others. Every row is a document
-    of its own: rows of one id, or without one, follow each other by text. An empty
-    table gives no rows.
+    of its own: rows of one id, or without one, follow each other by text. Of equal
+    lines (a likeness of 1) the first stays. Whole texts are read however long they
+    are; a line takes memory in proportion to its own length. Other columns may have
+    any names and are dropped. An empty table gives no rows.
     """
-    rows = common.with_rows(docs.select("doc_id", "text"))
-    found = _removed(rows, partners)
-    return rows.select("row_", F.col("doc_id").alias("doc")).join(found, "row_").select("doc", "removed", "n_lines")
+    spark = docs.sparkSession
+    with common.scratch(spark) as keep:
+        rows = common.with_rows(docs.select("doc_id", "text"))
+        found = _removed(rows, partners)
+        return keep(rows.select("row_", F.col("doc_id").alias("doc")).join(found, "row_").select("doc", "removed", "n_lines"))
 
 
 def _removed(numbered: DataFrame, partners: int = PARTNERS) -> DataFrame:
-    """(row_, removed, n_lines) of the rows with lines of ``numbered``, which has row_ and text."""
+    """(row_, removed, n_lines) of the rows with lines of ``numbered``, which has row_ and text; to be used inside a scratch scope."""
     spark = numbered.sparkSession
-    common.small_batches(spark)
     rows = numbered.select(F.col("row_").alias("doc"), F.col("text").cast("string").alias("text"))
-    words, counts, least = _ranked(rows)
-    sent = spark.sparkContext.broadcast((words, counts))  # at most RANKED_WORDS entries of 12 bytes
+    first = materialize(rows.mapInArrow(_first_pass, FIRST_SCHEMA))
+    sent = spark.sparkContext.broadcast(_levels(first))  # COUNTED bytes
+    lines = first.where("part is null").select("doc", "line", "key", "key2", "n")
+    words = lines.agg(F.sum("n"), F.count(F.lit(1))).first()
+    parts = max(256, -(-((words[0] or 0) * (100 - SIMILAR) // 100 + words[1]) // ROWS_PER_PART))
 
     def blobs(batches):
-        yield from _as_blobs(_prefixes(*sent.value, least)(batches), parts)
+        yield from _as_blobs(_prefixes(sent.value)(batches), parts)
 
-    lines = materialize(rows.mapInArrow(_lines, "doc bigint, line int, lines bigint"))
-    total = lines.count()
-    parts = max(256, -(-total * 12 // ROWS_PER_PART))
     found = materialize(
         rows.mapInArrow(blobs, "part bigint, rows bigint, columns array<binary>")
-        .repartition(-(-parts // 4), "part").mapInArrow(_partners(False, partners), CANDIDATE)
-        .groupBy("lines", "doc_b", "line_b", "doc_a", "line_a").agg(F.max("more").alias("more"))
+        .repartition(-(-parts // 4), "part").mapInArrow(_partners(_from_blobs, partners), CANDIDATE)
     )
+    common.release(spark)
     matched = _verified(rows, found)
-    again = materialize(
-        found.join(matched, "lines", "left_anti").where("more").select("lines", F.col("doc_b").alias("doc"), F.col("line_b").alias("line")).distinct()
-    )
-    if again.limit(1).count():
-        both = _rows_again(spark, rows, lambda: _prefixes(*sent.value, least), again)
-        rest = materialize(both.repartition(parts, "word").mapInArrow(_partners(True, 0), CANDIDATE).drop("more").distinct())
-        matched = materialize(matched.unionAll(_verified(rows, rest)).distinct())
+    left = _undecided(found, matched)
+    if left.limit(1).count():
+        again = _rows_again(spark, rows, lambda: _prefixes(sent.value), left)
+        limit = partners
+        while True:
+            limit *= MORE
+            found = materialize(again.repartition(parts, "cell").mapInArrow(_partners(_from_rows, limit), CANDIDATE))
+            matched = materialize(matched.unionAll(_verified(rows, found)))
+            left = _undecided(found, matched)
+            if not left.limit(1).count():
+                break
+            again = _remarked(again, left)
     # a set's first line stays unless the set is matched by an earlier one; its other lines go
-    places = materialize(
-        lines.groupBy("lines").agg(F.min(F.struct("doc", "line")).alias("first"))
-        .join(matched.select("lines", F.lit(True).alias("gone")), "lines", "left")
-        .select("lines", "first.doc", "first.line", "gone")
-    ).select(F.col("lines").alias("lines_"), F.col("doc").alias("doc_"), F.col("line").alias("line_"), "gone")
-    stays = (F.col("doc") == F.col("doc_")) & (F.col("line") == F.col("line_")) & F.col("gone").isNull()
+    gone = matched.distinct().select("doc", "line", F.lit(True).alias("gone"))
+    places = (
+        lines.groupBy("key", "key2").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("many"))
+        .select("key", "key2", "first.doc", "first.line", "many").join(gone, ["doc", "line"], "left")
+        .where("many > 1 or gone")
+        .select("key", "key2", F.col("doc").alias("doc_"), F.col("line").alias("line_"), "gone")
+    )
+    first_of_set = (F.col("doc") == F.col("doc_")) & (F.col("line") == F.col("line_"))
+    goes = F.col("doc_").isNotNull() & (F.col("gone").isNotNull() | ~first_of_set)
     return (
-        lines.join(places, F.col("lines") == F.col("lines_"))
+        lines.join(materialize(places), ["key", "key2"], "left")
         .groupBy(F.col("doc").alias("row_"))
-        .agg(
-            F.array_sort(F.collect_set(F.when(~stays, F.col("line")))).alias("removed"),
-            F.count_distinct("line").alias("n_lines"),
-        )
+        .agg(F.array_sort(F.collect_list(F.when(goes, F.col("line")))).alias("removed"), F.count(F.lit(1)).alias("n_lines"))
     )
 
 
+def _undecided(found: DataFrame, matched: DataFrame) -> DataFrame:
+    """(cell, doc, line): where lines without a match have more partners."""
+    more = found.where("more").select("cell", F.col("doc_b").alias("doc"), F.col("line_b").alias("line"))
+    return materialize(more.distinct().join(matched, ["doc", "line"], "left_anti"))
+
+
 def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which values are in a sorted array."""
     if not len(known):
@@ -357,78 +441,81 @@ def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _rows_again(spark: SparkSession, rows: DataFrame, prefixes, again: DataFrame) -> DataFrame:
-    """Prefix rows of the words that the lines in ``again`` have in their prefix, those lines marked.
-
-    The lines' keys and then their words are sent to the tasks if they are few, so
-    that nothing else is shuffled; otherwise they are joined.
-    """
-
-    def all_rows(batches):
-        yield from _as_rows(prefixes()(batches))
-
-    keys = again.select("lines").distinct()
-    if keys.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
-        wanted = spark.sparkContext.broadcast(np.sort(keys.toArrow().column(0).to_numpy()))
+def _remarked(rows: DataFrame, left: DataFrame) -> DataFrame:
+    """The rows of the cells in ``left``, its lines marked."""
+    marks = left.withColumn("marked_", F.lit(True))
+    return materialize(
+        rows.drop("marked").join(left.select("cell").distinct(), "cell", "left_semi")
+        .join(marks, ["cell", "doc", "line"], "left").withColumn("marked", F.col("marked_").isNotNull()).drop("marked_")
+    )
 
-        def their_words(batches):
-            for t in prefixes()(batches):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(t["word"][_member(t["lines"], wanted.value)]))], names=["word"])
 
-        words = materialize(rows.mapInArrow(their_words, "word bigint").distinct())
-        if words.limit(RANKED_WORDS + 1).count() <= RANKED_WORDS:
-            shared = spark.sparkContext.broadcast(np.sort(words.toArrow().column(0).to_numpy()))
+def _rows_again(spark: SparkSession, rows: DataFrame, prefixes, left: DataFrame) -> DataFrame:
+    """Prefix rows of the cells in ``left``, its lines marked. Few cells are sent to the tasks, so that nothing else is shuffled."""
+    cells = left.select("cell").distinct()
+    many = cells.limit(BROADCAST_LINES + 1).count()
+    shared = spark.sparkContext.broadcast(np.sort(cells.toArrow().column(0).to_numpy())) if many <= BROADCAST_LINES else None
 
-            def marked(batches):
-                for t in prefixes()(batches):
-                    keep = _member(t["word"], shared.value)
-                    t = {k: v[keep] for k, v in t.items()}
-                    yield from _as_rows([t | {"marked": _member(t["lines"], wanted.value)}])
+    def their_rows(batches):
+        for t in prefixes()(batches):
+            if shared is not None:
+                keep = _member(t["cell"], shared.value)
+                t = {k: v[keep] for k, v in t.items()}
+            yield from _as_rows([t])
 
-            return rows.mapInArrow(marked, f"{PREFIX}, marked boolean")
-    prefix = rows.mapInArrow(all_rows, PREFIX)
-    mine = prefix.join(keys.withColumn("marked", F.lit(True)), "lines")
-    theirs = prefix.join(mine.select("word").distinct(), "word", "left_semi").join(keys, "lines", "left_anti")
-    return mine.select(*prefix.columns, "marked").unionByName(theirs.select(*prefix.columns, F.lit(False).alias("marked")))
+    return _remarked(rows.mapInArrow(their_rows, PREFIX), left)
 
 
 def _verified(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The sets of which a partner in ``found`` is alike enough, by the full word sets of both lines."""
-    places = found.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")).unionAll(
-        found.select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line"))
+    """(doc, line) of the lines of which a partner in ``found`` is alike enough, by the full word sets of both."""
+    pairs = materialize(found.select("doc_b", "line_b", "doc_a", "line_a").distinct())
+    places = pairs.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")).unionAll(
+        pairs.select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line"))
     )
-    wanted = materialize(places.distinct().groupBy("doc").agg(F.collect_list("line").alias("wanted")))
-    small = wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    wanted = places.groupBy("doc").agg(F.collect_set("line").alias("wanted"))
+    small = pairs.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES  # twice as many line numbers at most
     sets = materialize(
         rows.join(F.broadcast(wanted) if small else wanted, "doc")
         .select("doc", "text", "wanted")
         .mapInArrow(_wanted_sets, "doc bigint, line int, words binary")
     )
     side = lambda s: sets.select(F.col("doc").alias(f"doc_{s}"), F.col("line").alias(f"line_{s}"), F.col("words").alias(f"words_{s}"))
-    pairs = found.select("lines", "doc_b", "line_b", "doc_a", "line_a")
     joined = pairs.join(side("a"), ["doc_a", "line_a"]).join(side("b"), ["doc_b", "line_b"])
-    return materialize(joined.select("lines", "words_a", "words_b").mapInArrow(_alike, "lines bigint").distinct())
+    alike = joined.select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line"), "words_a", "words_b")
+    return materialize(alike.mapInArrow(_alike, "doc bigint, line int").distinct())
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without the removed lines; a document that had words and has none left goes."""
-    rows = common.with_rows(docs)
-    gone = _removed(rows).where(F.size("removed") > 0).select("row_", "removed", F.col("n_lines").alias("n_lines_"))
-    kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("removed", i))
-    out = (
-        rows.join(materialize(gone), "row_", "left")
-        .where(F.col("removed").isNull() | (F.size("removed") < F.col("n_lines_")))
-        .withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    )
+    """The rows of ``docs`` without the removed lines; a document that had words and has none left goes.
+
+    All columns stay as they are but ``text`` and, where there is one, ``n_chars``
+    (the code points left). Columns may have any names. Nulls, repeated ids, ties and
+    long texts are as in ``removed_lines``; a row without lines stays unchanged, an
+    empty table gives an empty one.
+    """
+    row, of, gone = common.unused(docs, "row", "of", "gone")
+    rows = common.with_rows(docs, row)
+    with common.scratch(docs.sparkSession) as keep:
+        found = _removed(rows.select(F.col(row).alias("row_"), "text")).where(F.size("removed") > 0)
+        found = keep(found.select(F.col("row_").alias(of), F.struct("removed", "n_lines").alias(gone)))
+    removed = F.col(f"{gone}.removed")
+    kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(removed, i))
+    new = {"text": F.array_join(kept, "\n")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.char_length(new["text"]).cast(docs.schema["n_chars"].dataType)
+    return (
+        rows.join(found, F.col(row) == F.col(of), "left")
+        .where(removed.isNull() | (F.size(removed) < F.col(f"{gone}.n_lines")))
+        .select(*(F.when(removed.isNull(), F.col(f"`{c}`")).otherwise(new[c]).alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
+    )
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per row: doc_id, n_lines (with words), n_removed, removed (line numbers from 0)."""
     rows = common.with_rows(common.read(spark, sf_dir, "documents", "doc_id", "text"))
-    return rows.select("doc_id", "row_").join(materialize(_removed(rows)), "row_", "left").select(
+    with common.scratch(spark) as keep:
+        found = keep(_removed(rows))
+    return rows.select("doc_id", "row_").join(found, "row_", "left").select(
         "doc_id",
         F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
