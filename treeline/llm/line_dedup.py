@@ -66,35 +66,60 @@ def _level(counts: np.ndarray) -> np.ndarray:
 HOT = int(_level(np.array([HOT_COUNT]))[0])
 
 
+def _heads(values: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    out = np.ones(len(values), bool)
+    if len(values):
+        out[1:] = values[1:] != values[:-1]
+        for v in more:
+            out[1:] |= v[1:] != v[:-1]
+    return out
+
+
+def _dense(values: np.ndarray) -> np.ndarray:
+    """Each value's place among the distinct ones."""
+    order = np.argsort(values)
+    out = np.empty(len(values), np.int64)
+    out[order] = np.cumsum(_heads(values[order])) - 1
+    return out
+
+
 def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - COUNTED.bit_length() + 1)).astype(np.int64)
 
 
 class LineSets:
-    """The word sets of the lines of some texts, each ordered by rarity. Lines without words are left out."""
+    """The word sets of some lines, each ordered by rarity. Lines without words are left out."""
 
-    def __init__(self, texts: pa.Array, levels: np.ndarray | None = None):
-        split = pc.split_pattern(texts, "\n")
-        per_text = np.diff(split.offsets.to_numpy())
-        code, n, hashes = common.words_of(split.flatten())
+    def __init__(self, lines: pa.Array, levels: np.ndarray | None = None):
+        code, n, hashes = common.words_of(lines)
         self.counted = np.bincount(code, minlength=len(hashes)), hashes
         level = levels[_bucket(hashes)] if levels is not None else np.zeros(len(hashes), np.uint8)
         order = np.lexsort((hashes, level))
         rank = np.empty(len(hashes), np.int64)
         rank[order] = np.arange(len(hashes))
         # (line, rank) in one integer: sorting it orders each line's words, and equal ones meet
-        spread = np.int64(max(1, len(hashes)))
-        both = np.repeat(np.arange(len(n), dtype=np.int64) * spread, n) + rank[code]
+        bits = len(hashes).bit_length()
+        both = np.repeat(np.arange(len(n), dtype=np.int64) << bits, n)
+        both += rank[code]
         both.sort()
-        both = both[np.diff(both, prepend=-1) != 0]
-        line, self.at = both // spread, order[both % spread]
+        both = both[_heads(both)]
+        line, self.at = both >> bits, order[both & ((1 << bits) - 1)]
         self.hashes, self.level = hashes, level
-        self.starts = np.flatnonzero(np.diff(line, prepend=-1))
+        self.starts = np.flatnonzero(_heads(line))
         self.n = np.diff(np.append(self.starts, len(line)))
-        line = line[self.starts]
+        self.line = line[self.starts]
+
+    @classmethod
+    def of_texts(cls, texts: pa.Array, levels: np.ndarray | None = None) -> LineSets:
+        """Of all lines; ``text`` and ``number`` say which text each is in and its number there."""
+        split = pc.split_pattern(texts, "\n")
+        per_text = np.diff(split.offsets.to_numpy())
+        out = cls(split.flatten(), levels)
         ends = np.cumsum(per_text)
-        self.text = np.searchsorted(ends, line, side="right")
-        self.number = (line - (ends - per_text)[self.text]).astype(np.int32)
+        out.text = np.searchsorted(ends, out.line, side="right")
+        out.number = (out.line - (ends - per_text)[out.text]).astype(np.int32)
+        return out
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -123,15 +148,22 @@ class LineSets:
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, line, key, key2, n) of each line; then, by range of hash buckets, the words counted (part, size, buckets, counts)."""
+    """(doc, line, key, key2, n, again) of each line; then, by range of hash buckets, the words counted (part, size, buckets, counts).
+
+    ``again``: an earlier line of the same text has the same set.
+    """
     total = np.zeros(COUNTED, np.uint32)
     for batch in batches:
         docs = batch.column(0).to_numpy(zero_copy_only=False)
         for first, texts in common.text_slices(batch.column(1)):
-            s = LineSets(texts)
+            s = LineSets.of_texts(texts)
             np.add.at(total, _bucket(s.counted[1]), s.counted[0].astype(np.uint32))
             if len(s):
-                yield _rows(doc=docs[first + s.text], line=s.number, key=s.keys(), key2=s.second_keys(), n=s.n.astype(np.int32))
+                key, key2 = s.keys(), s.second_keys()
+                by = np.lexsort((s.number, key2, key, s.text))
+                again = np.empty(len(s), bool)
+                again[by] = ~_heads(s.text[by], key[by], key2[by])
+                yield _rows(doc=docs[first + s.text], line=s.number, key=key, key2=key2, n=s.n.astype(np.int32), again=again)
     at = np.flatnonzero(total)
     edges = np.searchsorted(at, np.arange(RANGES + 1) * (COUNTED // RANGES))
     for k in np.flatnonzero(np.diff(edges)).tolist():
@@ -142,8 +174,8 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-FIRST = {"doc": pa.int64(), "line": pa.int32(), "key": pa.int64(), "key2": pa.int64(), "n": pa.int32(), "part": pa.int32(), "size": pa.int32(), "buckets": pa.binary(), "counts": pa.binary()}
-FIRST_SCHEMA = "doc bigint, line int, key bigint, key2 bigint, n int, part int, size int, buckets binary, counts binary"
+FIRST = {"doc": pa.int64(), "line": pa.int32(), "key": pa.int64(), "key2": pa.int64(), "n": pa.int32(), "again": pa.bool_(), "part": pa.int32(), "size": pa.int32(), "buckets": pa.binary(), "counts": pa.binary()}
+FIRST_SCHEMA = "doc bigint, line int, key bigint, key2 bigint, n int, again boolean, part int, size int, buckets binary, counts binary"
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -182,7 +214,7 @@ def _prefixes(levels: np.ndarray):
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             for first, texts in common.text_slices(batch.column(1)):
-                s = LineSets(texts, levels)
+                s = LineSets.of_texts(texts, levels)
                 if not len(s):
                     continue
                 take = s.n - -(-SIMILAR * s.n // 100) + 1
@@ -211,7 +243,7 @@ def _prefixes(levels: np.ndarray):
         # of equal sets the earliest line alone goes on
         by = np.lexsort((lines["line"], lines["doc"], lines["n"], lines["key"]))
         once = np.zeros(len(by), bool)
-        once[by] = np.concatenate(([True], (np.diff(lines["key"][by]) != 0) | (np.diff(lines["n"][by]) != 0)))
+        once[by] = _heads(lines["key"][by], lines["n"][by])
         keep = once[line]
         line, at, word, hot = line[keep], at[keep], word[keep], hot[keep]
         home = np.ones(len(line), np.int8)
@@ -228,28 +260,32 @@ def _prefixes(levels: np.ndarray):
     return run
 
 
-def _as_rows(tables) -> Iterator[pa.RecordBatch]:
-    for t in tables:
-        names = [k for k in (*KINDS, "marked") if k in t]
-        yield pa.RecordBatch.from_arrays([pa.array(t[k]) for k in names], names=names)
-
-
 def _as_blobs(tables, parts: int) -> Iterator[pa.RecordBatch]:
-    """(part, rows, columns): prefix rows dealt by cell, packed column by column."""
+    """(part, rows, columns): prefix rows dealt by ranges of cells, packed column by column."""
     for t in tables:
         if not len(t["cell"]):
             continue
-        part = (common.mix64(t["cell"].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((t["cell"], part))
-        part = part[order]
+        order = np.argsort(t["cell"].view(np.uint64))
         t = {k: t[k][order] for k in KINDS}
+        part = ((t["cell"].view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         edge = np.flatnonzero(np.diff(part, prepend=-1))
         spans = list(zip(edge.tolist(), [*edge[1:].tolist(), len(part)], strict=True))
-        packed = [[common.pack(np.diff(v[lo:hi], prepend=0) if k == "cell" else v[lo:hi]) for k, v in t.items()] for lo, hi in spans]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(part[edge]), pa.array([hi - lo for lo, hi in spans], pa.int64()), pa.array(packed, pa.list_(pa.binary()))],
+            [
+                pa.array(part[edge]), pa.array([hi - lo for lo, hi in spans], pa.int64()),
+                pa.array([_packed({k: v[lo:hi] for k, v in t.items()}) for lo, hi in spans], pa.list_(pa.binary())),
+            ],
             names=["part", "rows", "columns"],
-        )
+        )
+
+
+def _packed(t: dict[str, np.ndarray]) -> list[bytes]:
+    return [common.pack(np.diff(t[k], prepend=0) if k == "cell" else t[k]) for k in KINDS]
+
+
+def _unpacked(blobs: list[tuple[int, list[bytes]]]) -> dict[str, np.ndarray]:
+    t = {k: np.concatenate([common.unpack(c[i], n, kind) for n, c in blobs]) for i, (k, kind) in enumerate(KINDS.items()) if k != "cell"}
+    return t | {"cell": np.concatenate([np.cumsum(common.unpack(c[0], n, np.int64)) for n, c in blobs])}
 
 
 def _from_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -259,10 +295,7 @@ def _from_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndar
         for part, n, columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             held.setdefault(part, []).append((n, columns))
     while held:
-        _, blobs = held.popitem()
-        t = {k: np.concatenate([common.unpack(c[i], n, kind) for n, c in blobs]) for i, (k, kind) in enumerate(KINDS.items()) if k != "cell"}
-        t["cell"] = np.concatenate([np.cumsum(common.unpack(c[0], n, np.int64)) for n, c in blobs])
-        yield t
+        yield _unpacked(held.popitem()[1])
 
 
 def _from_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -273,35 +306,54 @@ def _from_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarr
         yield {k: table.column(k).to_numpy() for k in table.column_names}
 
 
-CANDIDATE = "cell bigint, doc_b bigint, line_b int, doc_a bigint, line_a int, more boolean"
+CANDIDATE = {"cell": pa.int64(), "doc_b": pa.int64(), "line_b": pa.int32(), "doc_a": pa.int64(), "line_a": pa.int32(), "more": pa.bool_(), "rows": pa.int64(), "columns": pa.list_(pa.binary())}
+CANDIDATE_SCHEMA = "cell bigint, doc_b bigint, line_b int, doc_a bigint, line_a int, more boolean, rows bigint, columns array<binary>"
+
+
+def _in_order(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The rows by (cell, document, line): of equal sets in a cell the earliest, and cells of two rows or more."""
+    cell, doc = _dense(c["cell"]), _dense(c["doc"])
+    width = int(c["line"].max()) + 1
+    if len(cell) ** 2 * width < 1 << 62:
+        order = np.argsort((cell * len(cell) + doc) * width + c["line"])
+    else:
+        order = np.lexsort((c["line"], doc, cell))
+    # a cell's rows of equal sets meet by a hash of both; it decides nothing alone
+    mixed = (common.mix64(c["key"].view(np.uint64)) + c["cell"].view(np.uint64))[order]
+    same = np.argsort(mixed)
+    if not _heads(mixed[same]).all():
+        same = np.argsort(mixed, kind="stable")
+        by = order[same]
+        again = np.empty(len(order), bool)
+        again[same] = ~_heads(c["key"][by], c["cell"][by], c["n"][by])
+        order = order[~again]
+    many = np.bincount(cell[order], minlength=len(cell))[cell[order]] > 1
+    return {k: v[order[many]] for k, v in c.items()}
 
 
 def _partners(read, limit: int):
-    """For each line (each marked one, where lines are marked) of each cell its earliest ``limit`` passing partners, and whether it has more."""
+    """For each line (each marked one, where lines are marked) of each cell its earliest ``limit`` passing partners, and whether it has more.
+
+    The rows of cells where a line has more follow, packed, unless lines are marked.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in read(batches):
-            yield from compare(c)
+            if len(c["cell"]):
+                yield from compare(_in_order(c))
 
     def compare(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((c["line"], c["doc"], c["cell"]))
-        cell, key, n = c["cell"][order], c["key"][order], c["n"][order]
-        # of equal sets in a cell the earliest
-        same = (common.mix64(key.view(np.uint64)) + cell.view(np.uint64)).argsort(kind="stable")
-        again = np.zeros(len(order), bool)
-        again[same[1:]] = (key[same[1:]] == key[same[:-1]]) & (cell[same[1:]] == cell[same[:-1]]) & (n[same[1:]] == n[same[:-1]])
-        order = order[~again]
-        c = {k: v[order] for k, v in c.items()}
         n, at, home = c["n"], c["at"], c["home"] > 0
         even, odd = c["even"].view(np.uint64), c["odd"].view(np.uint64)
-        starts = np.flatnonzero(np.concatenate(([True], c["cell"][1:] != c["cell"][:-1])))
-        begin = np.repeat(starts, np.diff(np.append(starts, len(order))))
-        rank = np.arange(len(order)) - begin
+        starts = np.flatnonzero(_heads(c["cell"]))
+        begin = np.repeat(starts, np.diff(np.append(starts, len(n))))
+        rank = np.arange(len(n)) - begin
         if "marked" in c:
             rank = np.where(c["marked"], rank, 0)
         edges = np.concatenate(([0], np.cumsum(rank)))
+        unfinished = np.zeros(len(n), bool)
         lo = 0
-        while lo < len(order):
+        while lo < len(n):
             hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + PAIR_BLOCK, side="right")) - 1)
             count = rank[lo:hi]
             b = np.repeat(np.arange(lo, hi), count)
@@ -310,27 +362,35 @@ def _partners(read, limit: int):
             na, nb = n[a], n[b]
             # as the first word that both have, it leaves room for the overlap that the likeness takes
             least = -(-SIMILAR * (na + nb) // (100 + SIMILAR))
-            ok = (at[a] + least <= na) & (at[b] + least <= nb) & (home[a] | home[b])
+            ok = np.flatnonzero((at[a] + least <= na) & (at[b] + least <= nb))
             a, b = a[ok], b[ok]
             differ = np.bitwise_count(even[a] ^ even[b]).astype(np.int32) + np.bitwise_count(odd[a] ^ odd[b])
-            ok = differ * (100 + SIMILAR) <= (100 - SIMILAR) * (n[a] + n[b])
+            ok = (differ * (100 + SIMILAR) <= (100 - SIMILAR) * (n[a] + n[b])) & (home[a] | home[b])
             a, b = a[ok], b[ok]
             if not len(a):
                 continue
-            heads = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+            heads = np.flatnonzero(_heads(b))
             sizes = np.diff(np.append(heads, len(b)))
             which = np.arange(len(b)) - np.repeat(heads, sizes)
             ok = which < limit
             more = np.repeat(sizes > limit, sizes)[ok]
             a, b = a[ok], b[ok]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v) for v in (c["cell"][b], c["doc"][b], c["line"][b], c["doc"][a], c["line"][a], more)],
-                names=["cell", "doc_b", "line_b", "doc_a", "line_a", "more"],
-            )
+            unfinished[begin[b[more]]] = True
+            yield _candidates(cell=c["cell"][b], doc_b=c["doc"][b], line_b=c["line"][b], doc_a=c["doc"][a], line_a=c["line"][a], more=more)
+        if "marked" not in c and unfinished.any():
+            rest = {k: v[unfinished[begin]] for k, v in c.items()}
+            yield _candidates(rows=[len(rest["cell"])], columns=[_packed(rest)])
 
     return run
 
 
+def _candidates(**columns) -> pa.RecordBatch:
+    length = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[k], kind) if k in columns else pa.nulls(length, kind) for k, kind in CANDIDATE.items()], names=list(CANDIDATE)
+    )
+
+
 def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The word sets of the wanted lines of each text."""
     for batch in batches:
@@ -338,14 +398,14 @@ def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = pc.list_value_length(wanted).to_numpy()
         flat, edges = wanted.flatten().to_numpy(), np.concatenate(([0], np.cumsum(sizes)))
         for first, texts in common.text_slices(batch.column(1)):
-            s = LineSets(texts)
             last = first + len(texts)
-            asked = (np.repeat(np.arange(len(texts)), sizes[first:last]) << 32) + flat[edges[first] : edges[last]]
-            at = np.flatnonzero(np.isin((s.text << 32) + s.number, asked))
+            text, number = np.repeat(np.arange(first, last), sizes[first:last]), flat[edges[first] : edges[last]]
+            split = pc.split_pattern(texts, "\n")
+            s = LineSets(split.flatten().take(pa.array(split.offsets.to_numpy()[text - first] + number)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(docs[first + s.text[at]]), pa.array(s.number[at]),
-                    pa.array([np.sort(s.hashes[s.at[s.starts[i] : s.starts[i] + s.n[i]]]).tobytes() for i in at.tolist()], pa.binary()),
+                    pa.array(docs[text[s.line]]), pa.array(number[s.line]),
+                    pa.array([np.sort(s.hashes[s.at[i : i + n]]).tobytes() for i, n in zip(s.starts.tolist(), s.n.tolist(), strict=True)], pa.binary()),
                 ],
                 names=["doc", "line", "words"],
             )
@@ -386,7 +446,7 @@ def _removed(numbered: DataFrame, partners: int = PARTNERS) -> DataFrame:
     rows = numbered.select(F.col("row_").alias("doc"), F.col("text").cast("string").alias("text"))
     first = materialize(rows.mapInArrow(_first_pass, FIRST_SCHEMA))
     sent = spark.sparkContext.broadcast(_levels(first))  # COUNTED bytes
-    lines = first.where("part is null").select("doc", "line", "key", "key2", "n")
+    lines = first.where("part is null").select("doc", "line", "key", "key2", "n", "again")
     words = lines.agg(F.sum("n"), F.count(F.lit(1))).first()
     parts = max(256, -(-((words[0] or 0) * (100 - SIMILAR) // 100 + words[1]) // ROWS_PER_PART))
 
@@ -395,36 +455,28 @@ def _removed(numbered: DataFrame, partners: int = PARTNERS) -> DataFrame:
 
     found = materialize(
         rows.mapInArrow(blobs, "part bigint, rows bigint, columns array<binary>")
-        .repartition(-(-parts // 4), "part").mapInArrow(_partners(_from_blobs, partners), CANDIDATE)
+        .repartition(-(-parts // 4), "part").mapInArrow(_partners(_from_blobs, partners), CANDIDATE_SCHEMA)
     )
     common.release(spark)
     matched = _verified(rows, found)
     left = _undecided(found, matched)
-    if left.limit(1).count():
-        again = _rows_again(spark, rows, lambda: _prefixes(sent.value), left)
-        limit = partners
-        while True:
-            limit *= MORE
-            found = materialize(again.repartition(parts, "cell").mapInArrow(_partners(_from_rows, limit), CANDIDATE))
-            matched = materialize(matched.unionAll(_verified(rows, found)))
-            left = _undecided(found, matched)
-            if not left.limit(1).count():
-                break
-            again = _remarked(again, left)
+    limit, again = partners, None
+    while left.limit(1).count():
+        again = _remarked(_rows_again(spark, found, left) if again is None else again, left)
+        limit *= MORE
+        dealt = again.repartition(max(16, -(-again.count() // ROWS_PER_PART)), "cell")
+        found = materialize(dealt.mapInArrow(_partners(_from_rows, limit), CANDIDATE_SCHEMA))
+        matched = materialize(matched.unionAll(_verified(rows, found)))
+        left = _undecided(found, matched)
     # a set's first line stays unless the set is matched by an earlier one; its other lines go
-    gone = matched.distinct().select("doc", "line", F.lit(True).alias("gone"))
-    places = (
-        lines.groupBy("key", "key2").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("many"))
-        .select("key", "key2", "first.doc", "first.line", "many").join(gone, ["doc", "line"], "left")
-        .where("many > 1 or gone")
-        .select("key", "key2", F.col("doc").alias("doc_"), F.col("line").alias("line_"), "gone")
-    )
-    first_of_set = (F.col("doc") == F.col("doc_")) & (F.col("line") == F.col("line_"))
-    goes = F.col("doc_").isNotNull() & (F.col("gone").isNotNull() | ~first_of_set)
-    return (
-        lines.join(materialize(places), ["key", "key2"], "left")
-        .groupBy(F.col("doc").alias("row_"))
-        .agg(F.array_sort(F.collect_list(F.when(goes, F.col("line")))).alias("removed"), F.count(F.lit(1)).alias("n_lines"))
+    once = lines.where("not again")
+    places = once.groupBy("key", "key2").agg(F.min("doc").alias("doc_"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    copies = once.join(places.drop("many"), ["key", "key2"]).where("doc != doc_").select("doc", "line")
+    gone = copies.unionAll(lines.where("again").select("doc", "line")).unionAll(matched.distinct())
+    removed = gone.groupBy("doc").agg(F.array_sort(F.collect_list("line")).alias("removed"))
+    counts = lines.groupBy("doc").agg(F.count(F.lit(1)).alias("n_lines"))
+    return counts.join(removed, "doc", "left").select(
+        F.col("doc").alias("row_"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), "n_lines"
     )
 
 
@@ -450,25 +502,27 @@ def _remarked(rows: DataFrame, left: DataFrame) -> DataFrame:
     )
 
 
-def _rows_again(spark: SparkSession, rows: DataFrame, prefixes, left: DataFrame) -> DataFrame:
-    """Prefix rows of the cells in ``left``, its lines marked. Few cells are sent to the tasks, so that nothing else is shuffled."""
+def _rows_again(spark: SparkSession, found: DataFrame, left: DataFrame) -> DataFrame:
+    """The packed rows of ``found`` that are in the cells of ``left``."""
     cells = left.select("cell").distinct()
     many = cells.limit(BROADCAST_LINES + 1).count()
     shared = spark.sparkContext.broadcast(np.sort(cells.toArrow().column(0).to_numpy())) if many <= BROADCAST_LINES else None
 
-    def their_rows(batches):
-        for t in prefixes()(batches):
-            if shared is not None:
-                keep = _member(t["cell"], shared.value)
-                t = {k: v[keep] for k, v in t.items()}
-            yield from _as_rows([t])
+    def rows(batches):
+        for batch in batches:
+            for blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                t = _unpacked([blob])
+                if shared is not None:
+                    keep = _member(t["cell"], shared.value)
+                    t = {k: v[keep] for k, v in t.items()}
+                yield pa.RecordBatch.from_arrays([pa.array(t[k]) for k in KINDS], names=list(KINDS))
 
-    return _remarked(rows.mapInArrow(their_rows, PREFIX), left)
+    return found.where("rows is not null").select("rows", "columns").mapInArrow(rows, PREFIX)
 
 
 def _verified(rows: DataFrame, found: DataFrame) -> DataFrame:
     """(doc, line) of the lines of which a partner in ``found`` is alike enough, by the full word sets of both."""
-    pairs = materialize(found.select("doc_b", "line_b", "doc_a", "line_a").distinct())
+    pairs = materialize(found.where("rows is null").select("doc_b", "line_b", "doc_a", "line_a").distinct())
     places = pairs.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")).unionAll(
         pairs.select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line"))
     )
