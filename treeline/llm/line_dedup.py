@@ -42,13 +42,13 @@ PARTNERS, MORE = 1, 16
 #: Words counted this often or more are dealt by word and line length.
 HOT_COUNT = 1 << 15
 #: Pairs compared at a time.
-PAIR_BLOCK = 1 << 19
+PAIR_BLOCK = 1 << 18
 #: Lines or words sent to every task, at most; beyond, they are joined.
 BROADCAST_LINES = 1 << 20
 #: Prefix rows in a part, about.
-ROWS_PER_PART = 100_000
+ROWS_PER_PART = 250_000
 #: Prefix rows a task packs together.
-ROWS_AT_ONCE = 1 << 20
+ROWS_AT_ONCE = 1 << 18
 
 KINDS = {"cell": np.int64, "doc": np.int64, "line": np.int32, "key": np.int64, "n": np.int32, "at": np.int32, "even": np.int64, "odd": np.int64, "home": np.int8}
 PREFIX = "cell bigint, doc bigint, line int, key bigint, n int, at int, even bigint, odd bigint, home tinyint"
@@ -279,13 +279,30 @@ def _as_blobs(tables, parts: int) -> Iterator[pa.RecordBatch]:
         )
 
 
+#: Columns that do not compress.
+_RANDOM = ("key", "even", "odd")
+_ORDERED = tuple(k for k in KINDS if k not in _RANDOM)
+
+
 def _packed(t: dict[str, np.ndarray]) -> list[bytes]:
-    return [common.pack(np.diff(t[k], prepend=0) if k == "cell" else t[k]) for k in KINDS]
+    """Two buffers: one compressed, one of hashes as they are; a blob of few rows costs little more than they do."""
+    planes = [(np.diff(t[k], prepend=0) if k == "cell" else t[k]).view(np.uint8).reshape(len(t[k]), -1).T.tobytes() for k in _ORDERED]
+    return [pa.compress(b"".join(planes), codec="zstd", asbytes=True), b"".join(t[k].tobytes() for k in _RANDOM)]
 
 
 def _unpacked(blobs: list[tuple[int, list[bytes]]]) -> dict[str, np.ndarray]:
-    t = {k: np.concatenate([common.unpack(c[i], n, kind) for n, c in blobs]) for i, (k, kind) in enumerate(KINDS.items()) if k != "cell"}
-    return t | {"cell": np.concatenate([np.cumsum(common.unpack(c[0], n, np.int64)) for n, c in blobs])}
+    out: dict[str, list] = {k: [] for k in KINDS}
+    for n, (ordered, random) in blobs:
+        ordered = pa.decompress(ordered, n * sum(np.dtype(KINDS[k]).itemsize for k in _ORDERED), codec="zstd", asbytes=True)
+        at = 0
+        for k in _ORDERED:
+            size = np.dtype(KINDS[k]).itemsize
+            values = np.ascontiguousarray(np.frombuffer(ordered, np.uint8, n * size, at).reshape(size, n).T).view(KINDS[k]).reshape(n)
+            out[k].append(np.cumsum(values) if k == "cell" else values)
+            at += n * size
+        for i, k in enumerate(_RANDOM):
+            out[k].append(np.frombuffer(random, KINDS[k], n, i * 8 * n))
+    return {k: np.concatenate(v) for k, v in out.items()}
 
 
 def _from_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -455,7 +472,7 @@ def _removed(numbered: DataFrame, partners: int = PARTNERS) -> DataFrame:
 
     found = materialize(
         rows.mapInArrow(blobs, "part bigint, rows bigint, columns array<binary>")
-        .repartition(-(-parts // 4), "part").mapInArrow(_partners(_from_blobs, partners), CANDIDATE_SCHEMA)
+        .repartition(-(-parts // 2), "part").mapInArrow(_partners(_from_blobs, partners), CANDIDATE_SCHEMA)
     )
     common.release(spark)
     matched = _verified(rows, found)
