@@ -154,31 +154,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the document with that id is kept. Documents without words or text have 0
     shingles and are components of their own. A row with a null id takes no part
     (component_id and kept are null). Repeated rows each give a row; rows of one id
-    are one node of the graph. Extra columns are dropped; an empty table gives an
-    empty result.
+    are one node of the graph. A likeness of exactly the threshold is a link. Whole
+    texts are read; a text takes memory in proportion to its own length. Extra
+    columns may have any names and are dropped; an empty table gives an empty result.
     """
-    common.small_batches(docs.sparkSession)
+    spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    sketches = materialize(
-        rows.mapInArrow(_sketches, "id bigint, n bigint, set1 bigint, set2 bigint, signature binary, bands array<bigint>")
-    )
-    known = sketches.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    classes = materialize(known.groupBy("n", "set1", "set2").agg(F.min("id").alias("rep")))
-    roots = _roots(rows, sketches, known, classes)
-    member = (
-        sketches.select("id", "n", "set1", "set2")
-        .join(classes.join(roots, F.col("rep") == roots["id"], "left").select(
-            F.col("n").alias("n_"), F.col("set1").alias("set1_"), F.col("set2").alias("set2_"),
-            F.coalesce("root", "rep").alias("root"),
-        ).transform(materialize), (F.col("n") == F.col("n_")) & (F.col("set1") == F.col("set1_")) & (F.col("set2") == F.col("set2_")), "left")
-    )
-    component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
-    return member.select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        (F.col("id") == component).alias("kept"),
-    )
+    same = [F.col(c) == F.col(f"{c}_") for c in ("n", "set1", "set2")]
+    with common.scratch(spark) as keep:
+        sketches = materialize(
+            rows.mapInArrow(_sketches, "id bigint, n bigint, set1 bigint, set2 bigint, signature binary, bands array<bigint>")
+        )
+        known = sketches.where(F.col("id").isNotNull() & (F.col("n") > 0))
+        classes = materialize(known.groupBy("n", "set1", "set2").agg(F.min("id").alias("rep")))
+        roots = _roots(rows, sketches, known, classes)
+        of_class = materialize(
+            classes.join(roots, F.col("rep") == F.col("id"), "left")
+            .select(*(F.col(c).alias(f"{c}_") for c in ("n", "set1", "set2")), F.coalesce("root", "rep").alias("root"))
+        )
+        component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
+        return keep(
+            sketches.select("id", "n", "set1", "set2").join(of_class, same, "left").select(
+                F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept")
+            )
+        )
 
 
 def _roots(rows: DataFrame, sketches: DataFrame, known: DataFrame, classes: DataFrame) -> DataFrame:
