@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from treeline.llm import common
 from treeline.llm.line_dedup import deduplicated
@@ -26,9 +27,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates, rows without an id or of one id included."""
-    rows = common.with_rows(docs)
-    found = near_duplicates(rows, "row_").where("not kept").select("row_")
-    return rows.join(common.materialize(found), "row_", "left_anti").select(*docs.columns)
+    (row,) = common.unused(docs, "row")
+    rows = common.with_rows(docs, row)
+    (gone,) = common.unused(rows, "gone")
+    found = near_duplicates(rows, row).where("not kept").select(F.col(row).alias(gone))
+    return rows.join(found, F.col(row) == F.col(gone), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
