@@ -81,6 +81,17 @@ def test_near_duplicates(spark, seed):
     assert got == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()} | {10_000: (0, 10_000, True)}
 
 
+@pytest.mark.parametrize("block", [1 << 17, 64])
+def test_near_duplicates_in_blocks(spark, monkeypatch, block):
+    """Large buckets alone, in blocks of a few sets each."""
+    from treeline.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 0)
+    monkeypatch.setattr(near_dedup, "RANDOM_ROUNDS", 0)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", block)
+    test_near_duplicates(spark, 2)
+
+
 def test_near_duplicates_edges(spark):
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (7, "A B C D E F")]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()

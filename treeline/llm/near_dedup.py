@@ -9,9 +9,13 @@ Documents with equal sets are one class, of which only the smallest id goes on,
 so copies never meet. Within the buckets pairs are made in rounds: first each
 class with the smallest id it shares a bucket with; then, in buckets that hold
 several components, every member of the smaller ones with a random member of the
-largest, in each of its buckets; at last every remaining pair across components. A
-large group of near copies has become one component by then, so the pairs of a
-group are never all made, and no pair across components is left out.
+largest, in each of its buckets; at last what remains across components. A large
+group of near copies has become one component by then, but for members that are
+unlike most others. Small buckets make their pairs. Large ones make none: all
+their rows that share a largest component are one group, its sets are dealt in
+blocks of bounded size, and the members of the other components visit each block,
+where an index of the block's shingles gives their exact intersections. So the
+pairs of a group are never rows, and no pair across components is left out.
 """
 
 from __future__ import annotations
@@ -36,6 +40,10 @@ BANDS, ROWS = 50, 5
 SIGNATURE_LEAST = 0.57
 #: Turns in which members of a bucket's smaller components meet a random member of its largest.
 RANDOM_ROUNDS = 2
+#: Rows of a bucket that makes pairs in the end.
+SMALL_BUCKET = 32
+#: Shingles of a block and of the visitors it gets at a time, about.
+BLOCK_SHINGLES = 1 << 17
 
 _r = np.random.RandomState(41)
 _MULTIPLY = _r.randint(1, 1 << 62, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -220,12 +228,17 @@ def _roots(rows: DataFrame, sketches: DataFrame, known: DataFrame, classes: Data
             found = held.join(largest, "key").where("root != root_")
             pairs = found.select(F.least("id", "member").alias("a"), F.greatest("id", "member").alias("b")).distinct()
         else:
+            many = materialize(held.groupBy("key").agg(F.count(F.lit(1)).alias("many")))
+            large = materialize(held.join(many.where(F.col("many") > SMALL_BUCKET).select("key"), "key"))
+            held = held.join(many.where(F.col("many") <= SMALL_BUCKET).select("key"), "key")
             other = held.select("key", F.col("id").alias("id_"), F.col("root").alias("root_"))
             found = held.join(other, "key").where((F.col("id") < F.col("id_")) & (F.col("root") != F.col("root_")))
             pairs = found.select(F.col("id").alias("a"), F.col("id_").alias("b")).distinct()
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionAll(pairs)
         links = verified(pairs, signed, sets)
+        if turn == RANDOM_ROUNDS:
+            links = links.unionAll(materialize(_block_links(large, signed, sets)))
         # the new links join components, so their graph is one of roots
         root_of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
         joined = (
@@ -243,6 +256,44 @@ def _roots(rows: DataFrame, sketches: DataFrame, known: DataFrame, classes: Data
     return roots
 
 
+def _block_links(held: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) across the components of large buckets (key, id, root), enough to join what is linked."""
+    parts = held.groupBy("key", "root").agg(F.count(F.lit(1)).alias("many"))
+    largest = parts.groupBy("key").agg(F.max(F.struct("many", "root")).alias("l")).select("key", F.col("l.root").alias("group"))
+    rows = materialize(held.join(largest, "key").select("group", "id", "root").distinct().join(sizes.select("id", "n"), "id"))
+    visits = F.col("root") != F.col("group")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.sum(n) / F.lit(BLOCK_SHINGLES))).cast("int")
+    dealt = rows.join(rows.groupBy("group").agg(blocks("n").alias("blocks"), blocks(F.when(visits, F.col("n"))).alias("turns")), "group")
+    place = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = dealt.select("group", "id", "root", place(0, "blocks").alias("block"), all_of("turns").alias("turn"), F.lit(False).alias("visits"))
+    visitors = dealt.where(visits).select("group", "id", "root", all_of("blocks").alias("block"), place(1, "turns").alias("turn"), F.lit(True).alias("visits"))
+    cells = members.unionAll(visitors).join(sets.select("id", "shingles"), "id")
+    return cells.groupBy("group", "block", "turn").applyInArrow(_visited, "a bigint, b bigint")
+
+
+def _visited(cell: pa.Table) -> pa.Table:
+    """For each visitor and each other component that one of the block's members links it with, one link."""
+    id_, root, visits = (cell.column(c).to_numpy() for c in ("id", "root", "visits"))
+    sets = [np.frombuffer(x, np.uint64) for x in cell.column("shingles").to_pylist()]
+    own = np.flatnonzero(~visits)
+    n = np.array([len(sets[i]) for i in own], np.int64)
+    flat = np.concatenate([sets[i] for i in own]) if len(own) else np.zeros(0, np.uint64)
+    order = np.argsort(flat, kind="stable")
+    flat, holder = flat[order], np.repeat(np.arange(len(own)), n)[order]
+    a, b = [], []
+    for v in np.flatnonzero(visits).tolist():
+        lo, hi = np.searchsorted(flat, sets[v], side="left"), np.searchsorted(flat, sets[v], side="right")
+        many = hi - lo
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - lo, many)
+        both = np.bincount(holder[at], minlength=len(own))
+        linked = own[(100 * both >= SIMILAR * (len(sets[v]) + n - both)) & (root[own] != root[v])]
+        _, one = np.unique(root[linked], return_index=True)
+        a += [id_[v]] * len(one)
+        b += id_[linked[one]].tolist()
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.read(spark, sf_dir, "documents", "doc_id", "text"))
 
