@@ -133,14 +133,15 @@ def repetitions(
     any other; other columns of ``docs`` are not looked at. An empty table gives an
     empty result.
     """
-    sized = materialize(
-        docs.select(
-            docs["doc_id"], docs["source"], word_count(docs[text_col]).alias("size"),
-            ranked(docs["doc_id"], docs[text_col], seed).alias("place"),
-        )
+    sized = docs.select(
+        docs["doc_id"], docs["source"], word_count(docs[text_col]).alias("size"),
+        ranked(docs["doc_id"], docs[text_col], seed).alias("place"),
     )
+    with common.scratch(docs.sparkSession) as keep:
+        sized = keep(sized)
+        per_source = keep(edges(sized, weights, epochs))
     return (
-        _taken(sized, edges(sized, weights, epochs))
+        _taken(sized, per_source)
         .withColumn("whole", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("long"))
         .withColumn("part", F.col("taken") - F.col("whole") * F.col("size"))
         .select("doc_id", "source", "size", "source_size", "target", "whole", "part", "taken")
@@ -160,7 +161,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = EPOCH
     """
     columns = docs.columns
     size, place = word_count(F.col("text")), ranked(F.col("doc_id"), F.col("text"), seed)
-    per_source = edges(materialize(docs.select("source", size.alias("size"), place.alias("place"))), weights, epochs)
+    with common.scratch(docs.sparkSession) as keep:
+        per_source = keep(edges(materialize(docs.select("source", size.alias("size"), place.alias("place"))), weights, epochs))
     whole = F.floor(F.col("taken") / F.col("size")).cast("int")
     part = (F.col("taken") - whole * F.col("size")).cast("int")
     # the first n words with the white space before them
