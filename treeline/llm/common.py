@@ -101,6 +101,13 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def few(df: DataFrame, lists: str | None = None, limit: int = 1 << 20) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``limit`` rows, and entries in the column ``lists``; a written table of numbers."""
+    entries = F.sum(F.size(lists)) if lists else F.lit(0).cast("long")
+    rows, inside = df.agg(F.count(F.lit(1)), entries).first()
+    return F.broadcast(df) if rows <= limit and (inside or 0) <= limit else df
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what one Arrow batch holds when rows carry whole texts, for plans that run later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

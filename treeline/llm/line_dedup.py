@@ -568,7 +568,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     rows = common.with_rows(docs, row)
     with common.scratch(docs.sparkSession) as keep:
         found = _removed(rows.select(F.col(row).alias("row_"), "text")).where(F.size("removed") > 0)
-        found = keep(found.select(F.col("row_").alias(of), F.struct("removed", "n_lines").alias(gone)))
+        found = common.few(keep(found.select(F.col("row_").alias(of), F.struct("removed", "n_lines").alias(gone))), f"{gone}.removed")
     removed = F.col(f"{gone}.removed")
     kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(removed, i))
     new = {"text": F.array_join(kept, "\n")}
