@@ -31,6 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = common.with_rows(docs, row)
     (gone,) = common.unused(rows, "gone")
     found = near_duplicates(rows, row).where("not kept").select(F.col(row).alias(gone))
+    found = common.few(common.materialize(found))
     return rows.join(found, F.col(row) == F.col(gone), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
