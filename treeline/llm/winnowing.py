@@ -1,11 +1,13 @@
 """Winnowing fingerprints of whole texts, with DataFrame operations only.
 
-A text's units are its words, words of more than ``UNIT`` characters cut into
-units of that length. Every run of ``k`` units is hashed; in every window of
-2 ** ``levels`` consecutive hashes the smallest is selected, the rightmost of
-equal ones. Two texts that share a run of at least w + k - 1 units share a
-selected hash; runs of fewer than k units are never matched. Positions (unit
-offsets) are kept beside the hashes.
+A text's units are its words; a run of more than ``UNIT`` characters without white
+space, as in scripts that use none, gives its code points. Each unit is hashed
+once; the hash of a run of ``k`` units is a polynomial in theirs modulo a prime,
+rolled from the hash of the shorter run by one multiplication and one addition.
+In every window of 2 ** ``levels`` consecutive hashes the smallest is selected,
+the rightmost of equal ones. Two texts that share a run of at least w + k - 1
+units share a selected hash; runs of fewer than k units are never matched.
+Positions (unit offsets) are kept beside the hashes.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ UNIT = 24
 RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 2_000, 1_024, 1 << 18
 
 _LOW = (1 << 32) - 1
+#: The hashes' modulus and base; products of two residues stay far below 2**63.
+PRIME, BASE = (1 << 31) - 1, 1_000_003
+_SPACE = "\\x20\\x09-\\x0D"
+_UNITS = f"(?<![^{_SPACE}])[^{_SPACE}]{{1,{UNIT}}}(?![^{_SPACE}])|[^{_SPACE}]"
 
 
 def let(value: Column, body) -> Column:
@@ -39,15 +45,23 @@ def selected(text: Column, k: int = K, levels: int = LEVELS) -> Column:
     With fewer than w hashes the window is what there is.
     """
     w = 1 << levels
-    units = F.regexp_extract_all(text, F.lit(f"[^\\x20\\x09-\\x0D]{{1,{UNIT}}}"), F.lit(0))
+    units = F.regexp_extract_all(text, F.lit(_UNITS), F.lit(0))
+    # eight hexadecimal digits of md5, which any SQL engine has
+    hashed = F.transform(units, lambda u: F.pmod(F.conv(F.substring(F.md5(u.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(PRIME)))
 
     def hashes(u: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size(u) - k, F.lit(0))),
-            lambda i: F.xxhash64(F.slice(u, i + 1, F.lit(k))).bitwiseAND(F.lit(-1 << 32)) - i,
-        )
+        runs = u
+        for step in range(1, k):
+            longer = F.zip_with(
+                F.slice(runs, 1, F.greatest(F.size(u) - step, F.lit(0))),
+                F.slice(u, step + 1, F.greatest(F.size(u) - step, F.lit(0))),
+                lambda run, unit: F.pmod(run * F.lit(BASE) + unit, F.lit(PRIME)),
+            )
+            runs = F.when(F.size(u) > step, longer).otherwise(runs)
+        return F.transform(runs, lambda run, i: F.shiftleft(run, 32) - i)
+
+    minima = let(hashed, hashes)
 
-    minima = let(units, lambda u: F.when(F.size(u) > 0, hashes(u)))
     def joined(step: int):
         # a window's minimum is the less of its halves' minima; null beyond the end
         # (no default arguments here: a second parameter of the lambda would be the element's index)
@@ -62,7 +76,7 @@ def selected(text: Column, k: int = K, levels: int = LEVELS) -> Column:
 
 
 def hashes_of(values: Column) -> Column:
-    """The 32-bit hashes of selected values, distinct."""
+    """The hashes of selected values, distinct."""
     return F.array_distinct(F.transform(values, lambda v: F.shiftright(v + F.lit(_LOW), 32)))
 
 
@@ -167,5 +181,54 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
+def oracle(k: int = K, w: int = 1 << LEVELS) -> str:
+    """The query in DuckDB's SQL: the windows' minima taken one by one."""
+    def run(h: str, i: str) -> str:
+        out = "0"
+        for j in range(k):
+            out = f"CASE WHEN {i} + {j} <= len({h}) THEN ({out} * {BASE} + {h}[{i} + {j}]) % {PRIME} ELSE {out} END" if j else f"{h}[{i}]"
+        return out
+
+    space = "[^\\x20\\x09-\\x0D]+"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id, text) AS pos, count(*) OVER () AS many FROM documents),
+e AS (
+  SELECT x.doc_id, x.t, x.pos, y.pos AS next_at, length(x.t) AS n,
+    substring(x.t, 1, length(x.t) - length(x.t) // 2) || substring(y.t, 1, length(x.t) // 2) AS e
+  FROM d x JOIN d y ON y.pos = x.pos % x.many + 1
+),
+s AS (SELECT pos, 0 AS edit, t FROM e UNION ALL SELECT pos, 1, e FROM e),
+u AS (
+  SELECT pos, edit, list_transform(flatten(list_transform(regexp_extract_all(t, '{space}'),
+    lambda x: CASE WHEN length(x) <= {UNIT} THEN [x] ELSE regexp_extract_all(x, '(?s).') END)),
+    lambda x: CAST('0x' || substring(md5(x), 1, 8) AS BIGINT) % {PRIME}) AS h
+  FROM s
+),
+g AS (
+  SELECT pos, edit, CASE WHEN len(h) = 0 THEN [] ELSE list_transform(range(1, greatest(len(h) - {k - 1}, 1) + 1),
+    lambda i: ({run('h', 'i')}) * 4294967296 - (i - 1)) END AS v
+  FROM u
+),
+f AS (
+  SELECT pos, edit, CASE WHEN len(v) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(v) - {w - 1}, 1) + 1),
+    lambda i: list_min(v[i:i + {w - 1}]))) END AS m
+  FROM g
+),
+r AS (
+  SELECT pos, edit, list_distinct(list_transform(m, lambda x: (x + 4294967295) >> 32)) AS h, m
+  FROM f
+)
+SELECT e.doc_id, CAST(e.n AS BIGINT) AS n_chars, sha256(e.e) AS edited_sha256,
+  array_to_string(list_transform(list_sort(list_transform(a.m, lambda x: {{'p': ((x + 4294967295) >> 32) * 4294967296 - x, 'x': x}})), lambda y: y.x), ' ') AS fingerprint,
+  array_to_string(list_transform(list_sort(list_transform(b.m, lambda x: {{'p': ((x + 4294967295) >> 32) * 4294967296 - x, 'x': x}})), lambda y: y.x), ' ') AS edited_fingerprint,
+  CASE WHEN len(a.h) + len(b.h) = 0 THEN 1.0 ELSE CAST(len(list_intersect(a.h, b.h)) AS DOUBLE) / (len(a.h) + len(b.h) - len(list_intersect(a.h, b.h))) END AS near_edited,
+  CASE WHEN len(a.h) + len(c.h) = 0 THEN 1.0 ELSE CAST(len(list_intersect(a.h, c.h)) AS DOUBLE) / (len(a.h) + len(c.h) - len(list_intersect(a.h, c.h))) END AS near_next
+FROM e JOIN r a ON a.pos = e.pos AND a.edit = 0 JOIN r b ON b.pos = e.pos AND b.edit = 1 JOIN r c ON c.pos = e.next_at AND c.edit = 0
+"""
+
+
+OP3_SQL = oracle()
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(common.read(spark, sf_dir, "documents", "doc_id", "text"))
