@@ -5,11 +5,13 @@ their segments, coarse to fine. A squared distance is at least
 sum of L * ((mean - mean')**2 + (dev - dev')**2) over segments of length L, which
 with the norms bounds an inner product from above. A candidate whose bound lies
 below the k-th best score found so far is dropped at the coarsest level that
-shows it; the survivors' products are computed exactly.
+shows it; each finer level is computed for the survivors alone, and their products
+exactly in the end.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,8 @@ SEGMENTS = (1, 4, 16)
 QUERY_BLOCK_BYTES = 16 << 20
 CANDIDATES = 2048
 SEED_CANDIDATES = 128
+#: Pairs whose finer bounds are computed at a time.
+PAIRS = 1 << 16
 
 
 def summaries(x: np.ndarray, segments: int) -> np.ndarray:
@@ -47,7 +51,8 @@ class Searcher:
         self.levels = [summaries(x, s) for s in SEGMENTS if s < x.shape[1]]
         self.best: list[list[tuple[int, int]]] = [[] for _ in ids]
         self.least = np.full(len(ids), -np.inf)
-        self.exact = 0
+        #: Pairs whose bound was computed at each level, and those whose product was.
+        self.bounded, self.exact = [0] * len(self.levels), 0
 
     def add(self, ids: np.ndarray, y: np.ndarray) -> None:
         # the first few candidates set the scores to beat
@@ -58,16 +63,26 @@ class Searcher:
         if not len(ids):
             return
         norm = (y * y).sum(axis=1)
-        alive = self.ids[:, None] != ids[None, :]  # not its own row
-        for level, mine in zip([summaries(y, s) for s in SEGMENTS if s < y.shape[1]], self.levels, strict=True):
+        slack = 1e-3 + 1e-9 * float(self.norm.max(initial=0) + norm.max(initial=0))  # rounding
+        q, c = np.nonzero(self.ids[:, None] != ids[None, :])  # not its own row
+        for k, mine in enumerate(self.levels):
+            self.bounded[k] += len(q)
+            some, c_of = np.unique(c, return_inverse=True)
+            level = summaries(y[some], SEGMENTS[k])
             # distance of summaries <= distance of vectors, so (|q|^2 + |y|^2 - distance) / 2 >= q.y
-            bound = mine @ level.T
-            bound += ((self.norm - (mine * mine).sum(axis=1)) / 2)[:, None]
-            bound += ((norm - (level * level).sum(axis=1)) / 2)[None, :]
-            slack = 1e-3 + 1e-9 * float(self.norm.max(initial=0) + norm.max(initial=0))  # rounding
-            alive &= bound >= (self.least - slack)[:, None]
-        for q in np.flatnonzero(alive.any(axis=1)):
-            at = np.flatnonzero(alive[q])
+            own = (self.norm - (mine * mine).sum(axis=1)) / 2
+            other = (norm[some] - (level * level).sum(axis=1)) / 2
+            if len(q) * 2 > len(mine) * len(level):  # most pairs are left
+                bound = (mine @ level.T)[q, c_of]
+            else:
+                bound = np.concatenate([
+                    np.einsum("ij,ij->i", mine[q[lo : lo + PAIRS]], level[c_of[lo : lo + PAIRS]]) for lo in range(0, len(q), PAIRS)
+                ] or [np.zeros(0)])
+            alive = bound + own[q] + other[c_of] >= self.least[q] - slack
+            q, c = q[alive], c[alive]
+        edges = np.searchsorted(q, np.arange(len(self.ids) + 1))
+        for q in np.flatnonzero(np.diff(edges)):
+            at = c[edges[q] : edges[q + 1]]
             scores = self._products(y[at], self.x[q])
             self.exact += len(at)
             if len(at) > self.k:  # ties with the k-th best stay
@@ -125,49 +140,45 @@ def top_k(
     no part; vectors of another length are not candidates of a query, nor are rows
     with the query's own id; a repeated query row counts once, a repeated candidate
     row as often as it stands. Fewer than ``k`` candidates give fewer rows, an
-    empty table none. Queries are sent to the tasks in blocks of bounded size.
+    empty table none. Queries are sent to the tasks in blocks of bounded size, one
+    block after the other. Other columns may have any names and are dropped. Scores
+    are 64-bit integers; a product beyond them is an error, never a wrong score.
     """
     spark = vectors.sparkSession
-    common.small_batches(spark, CANDIDATES)
     rows = integers(vectors, id_col, vector_col, scale)
     queries = rows.where(is_query).dropDuplicates(["id"])
     count, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     per_block = max(1, QUERY_BLOCK_BYTES // (8 * max(1, width)))
     blocks = -(-count // per_block) or 1
-    block_of = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    partial = None
-    for b in range(blocks):
-        # one block of bounded size is on the driver at a time
-        block = queries.where(block_of == b).toArrow().combine_chunks()
-        sent = spark.sparkContext.broadcast(
-            [m for batch in block.to_batches() for m in _matrices(batch)]
-        )
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            grouped: dict[int, list] = {}
-            for ids, x in sent.value:
-                grouped.setdefault(x.shape[1], []).append((ids, x))
-            searchers = {
-                d: Searcher(np.concatenate([i for i, _ in m]), np.concatenate([x for _, x in m]), k)
-                for d, m in grouped.items()
-            }
-            for batch in batches:
-                for ids, y in _matrices(batch):
-                    if y.shape[1] in searchers:
-                        searchers[y.shape[1]].add(ids, y)
-            out = [(q, i, s) for f in searchers.values() for q, best in zip(f.ids.tolist(), f.best, strict=True) for s, i in best]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row[c] for row in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"]
-            )
-
-        found = rows.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
-        partial = found if partial is None else partial.unionByName(found)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return (
-        partial.withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    out = []
+    with common.scratch(spark) as keep:
+        for b in range(blocks):
+            # one block of bounded size is on the driver and the executors at a time
+            block = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow().combine_chunks()
+            sent = spark.sparkContext.broadcast([m for batch in block.to_batches() for m in _matrices(batch)])
+            found = rows.mapInArrow(_search(sent, k), "query_id bigint, vec_id bigint, score bigint")
+            out.append(keep(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")))
+            sent.destroy()
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def _search(sent, k: int):
+    """Each task's best ``k`` candidates of every query sent."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grouped: dict[int, list] = {}
+        for ids, x in sent.value:
+            grouped.setdefault(x.shape[1], []).append((ids, x))
+        searchers = {d: Searcher(np.concatenate([i for i, _ in m]), np.concatenate([x for _, x in m]), k) for d, m in grouped.items()}
+        for batch in batches:
+            for ids, y in _matrices(batch):
+                if y.shape[1] in searchers:
+                    searchers[y.shape[1]].add(ids, y)
+        out = [(q, i, s) for f in searchers.values() for q, best in zip(f.ids.tolist(), f.best, strict=True) for s, i in best]
+        yield pa.RecordBatch.from_arrays([pa.array([row[c] for row in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
+
+    return search
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
