@@ -205,18 +205,37 @@ def test_winnowing(spark):
 
 
 def test_winnowing_selects_window_minima(spark):
+    from treeline.llm.winnowing import BASE, PRIME
+
     k, w = 3, 4
-    text = "b a d c a b a c d b a d c e f a b"
-    values = [int(x) for x in fingerprints(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first().fingerprint.split()]
-    u = text.split()
-    hashed = spark.createDataFrame([(i, u[i : i + k]) for i in range(len(u) - k + 1)], "i int, g array<string>")
-    h = {r.i: r.h >> 32 for r in hashed.select("i", F.xxhash64("g").alias("h")).collect()}
-    want = []
-    for s in range(len(h) - w + 1):
-        at = min(range(s, s + w), key=lambda i: (h[i], -i))
-        if at not in want:
-            want.append(at)
-    assert values == [(h[i] << 32) - i for i in want]
+    for text in ("b a d c a b a c d b a d c e f a b", "a b", "日本語の文章です。" * 9 + " x", "a b c d"):
+        values = [int(x) for x in fingerprints(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first().fingerprint.split()]
+        u = [c for x in text.split() for c in ([x] if len(x) <= 24 else x)]
+        one = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) % PRIME for x in u]
+        h = {}
+        for i in range(max(1, len(u) - k + 1)):
+            h[i] = 0
+            for x in one[i : i + k]:
+                h[i] = (h[i] * BASE + x) % PRIME
+        want = []
+        for s in range(max(1, len(h) - w + 1)):
+            at = min(range(s, min(s + w, len(h))), key=lambda i: (h[i], -i))
+            if at not in want:
+                want.append(at)
+        assert values == [(h[i] << 32) - i for i in want]
+
+
+def test_winnowing_finds_shared_runs(spark):
+    """Two texts that share w + k - 1 units share a hash; without white space, wherever the run begins."""
+    r = random.Random(8)
+    for shared, glue in (([f"w{i}" for i in range(6)], " "), (list("日本語の文章を解析"), "")):
+        texts = []
+        for _ in range(8):
+            around = [[r.choice("あいうえおかきくけこ") if glue == "" else f"x{r.random()}" for _ in range(r.randint(30, 60))] for _ in range(2)]
+            texts.append(glue.join(around[0] + shared + around[1]))
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        sets = [{(int(x) + (1 << 32) - 1) >> 32 for x in row.fingerprint.split()} for row in fingerprints(docs).collect()]
+        assert all(a & b for a, b in combinations(sets, 2))
 
 
 def test_winnowing_edges(spark):
@@ -278,6 +297,31 @@ def test_top_k(spark):
         assert got[q] == [(-s, i) for s, i in all_[:5]]
 
 
+def test_top_k_levels_see_survivors_alone():
+    from treeline.llm import topk
+
+    r = np.random.RandomState(2)
+    centres = r.randint(-200, 200, (12, 64))
+    x = (centres[r.randint(0, 12, 6000)] + r.randint(-40, 40, (6000, 64))).astype(float)
+    ids = np.arange(6000)
+    s = topk.Searcher(ids[::50], x[::50], 5)
+    for lo in range(0, 6000, 2048):
+        s.add(ids[lo : lo + 2048], x[lo : lo + 2048])
+    pairs = len(s.ids) * 6000 - len(s.ids)
+    assert s.bounded[0] == pairs
+    assert pairs > s.bounded[1] > s.bounded[2] > s.exact
+    for q, best in zip(s.ids, s.best, strict=True):
+        scores = x @ x[q]
+        assert best == sorted(((int(scores[i]), int(i)) for i in ids if i != q), key=lambda p: (-p[0], p[1]))[:5]
+
+
+def test_top_k_in_blocks(spark, monkeypatch):
+    from treeline.llm import topk
+
+    monkeypatch.setattr(topk, "QUERY_BLOCK_BYTES", 8 * 16 * 3)
+    test_top_k(spark)
+
+
 def test_quality_held_out(spark):
     docs = common.read(spark, "/root/testdata/sf0.01", "documents", "doc_id", "text")
     labels = common.read(spark, "/root/testdata/sf0.01", "labels", "doc_id", "quality")

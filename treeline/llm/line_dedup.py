@@ -592,3 +592,30 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("removed", F.expr("array()").cast("array<int>")).alias("removed"),
     )
+
+
+OP9_SQL = rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS line, unnest(l) AS t FROM d),
+w AS (
+  SELECT doc_id, line, list_sort(list_distinct(regexp_extract_all(
+    translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS s
+  FROM x
+), p AS (SELECT *, row_number() OVER (ORDER BY doc_id, line) AS place FROM w WHERE len(s) > 0),
+sets AS (SELECT s, min(place) AS first, len(s) AS n FROM p GROUP BY s),
+u AS (SELECT first, n, unnest(s) AS word FROM sets),
+gone AS (
+  SELECT DISTINCT b AS first FROM (
+    SELECT a.first AS a, b.first AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+    FROM u a JOIN u b ON a.word = b.word AND a.first < b.first AND 100 * least(a.n, b.n) >= {SIMILAR} * greatest(a.n, b.n)
+    GROUP BY 1, 2
+  ) WHERE 100 * c >= {SIMILAR} * (na + nb - c)
+),
+r AS (
+  SELECT p.doc_id, count(*) AS n_lines, list_sort(list(p.line) FILTER (WHERE p.place > sets.first OR gone.first IS NOT NULL)) AS removed
+  FROM p JOIN sets ON sets.s = p.s LEFT JOIN gone ON gone.first = sets.first GROUP BY 1
+)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(len(removed), 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(removed, []) AS INTEGER[]) AS removed
+FROM documents LEFT JOIN r USING (doc_id)
+"""
