@@ -282,13 +282,13 @@ class Model:
         self.frequent = self.spark.sparkContext.broadcast((key[order], often.column("n").to_numpy()[order]))
 
     def scores(self) -> DataFrame:
-        """Per row: doc_id, text_hash, held_out, n_tokens, n_known, base_score, part; and the rest of the score by document, as two tables."""
+        """Per row: row, doc_id, held_out, n_tokens, n_known, base_score, part; and the rest of the score by row, as two tables."""
         chunks, parts, has_counts = self._chunks(), self.parts, self.sent is None
         sent, documents, tokens, distinct = self.sent, self.documents, self.tokens, self.distinct
         weights, frequent = self.weights, self.frequent
         doc_parts = max(64, self.documents // 5_000)
         doc_partitions = max(1, doc_parts // 16)
-        rows = self.rows.select("text", "known", "doc_id", "text_hash", "held_out", "training")
+        rows = self.rows.select("text", "known", "row_", "doc_id", "held_out", "training")
 
         def looked_up(c1, c2, key):
             """The tokens' pair counts so far as they are known here, and where they are: frequent pairs, and those with an unseen word."""
@@ -311,147 +311,113 @@ class Model:
                         pa.array(np.bincount(text[c2 > 0], minlength=n).astype(np.int64)),
                         pa.array(base, pa.float64()), pa.array(part.astype(np.float64)),  # bincount of nothing gives integers
                     ],
-                    names=["doc_id", "text_hash", "held_out", "n_tokens", "n_known", "base_score", "part"],
+                    names=["row_", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "part"],
                 )
 
         def pairs(batches):
-            """Blobs of (key, text number, times), with the texts' names."""
-            held, names, size = [], [], 0
+            """Blobs of (key, times and whether for training, counts of both words where they are not known to all, row)."""
+            held, size = [], 0
 
             def flush():
-                key, text = (np.concatenate([h[c] for h in held]) for c in (0, 1))
-                counts = [np.concatenate([h[c] for h in held]) for c in (2, 3)] if has_counts else []
-                order = np.lexsort((text, key))
-                key, text = key[order], text[order]
-                at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (text[1:] != text[:-1]))))
-                n = np.diff(np.append(at, len(key)))
-                key, text = key[at], text[at]
-                more = [c[order][at].astype(np.int64) for c in counts]
-                ids, hashes, train = (np.concatenate([x[c] for x in names]) for c in range(3))
+                key, row, train, *counts = (np.concatenate(c) for c in zip(*held, strict=True))
                 held.clear()
-                names.clear()
-                columns = [n.astype(np.uint32), *more, text.astype(np.uint32)]
-                out = []
-                for part, m, keys, packed in _blobs(columns, key, parts):
-                    out.append((part, m, keys, packed, None, None, None))
-                # the names go with every part, packed once
-                head = (len(ids), common.pack(ids), common.pack(hashes), np.packbits(train).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()),
-                        pa.array([r[2] for r in out], pa.binary()), pa.array([r[3] for r in out], pa.list_(pa.binary())),
-                        pa.array([head[0]] * len(out), pa.int64()),
-                        pa.array([list(head[1:])] * len(out), pa.list_(pa.binary())),
-                    ],
-                    names=["part", "n", "keys", "more", "texts", "names"],
-                )
+                order = np.lexsort((row, key))
+                key, row = key[order], row[order]
+                at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1]))))
+                n = 2 * np.diff(np.append(at, len(key))) + train[order][at]
+                columns = [n.astype(np.uint32), *(c[order][at].astype(np.int64) for c in counts), row[at]]
+                out = list(_blobs(columns, key[at], parts))
+                return pa.RecordBatch.from_arrays(
+                    [pa.array([r[c] for r in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary())))],
+                    names=["part", "n", "keys", "more"],
+                )
 
             for batch, at, n, text, c1, c2, key in chunks(batches):
                 _, known = looked_up(c1, c2, key)
-                offset = sum(len(x[0]) for x in names)
                 rest = ~known
-                held.append((key[rest], (text[rest] + offset).astype(np.uint32), *((c1[rest], c2[rest]) if has_counts else ())))
-                ids = batch.column(2)[at : at + n].fill_null(-1).to_numpy(zero_copy_only=False)
-                names.append((ids, batch.column(3)[at : at + n].to_numpy(zero_copy_only=False), batch.column(5)[at : at + n].to_numpy(zero_copy_only=False)))
-                size += int(rest.sum())
+                row, train = (batch.column(c)[at : at + n].to_numpy(zero_copy_only=False)[text[rest]] for c in (2, 5))
+                held.append((key[rest], row, train, *((c1[rest], c2[rest]) if has_counts else ())))
+                size += len(row)
                 if size >= TOKENS_AT_ONCE:
-                    yield from flush()
+                    yield flush()
                     size = 0
-            if held:
-                yield from flush()
+            if size:
+                yield flush()
 
         def sums(batches):
             counts = Vocabulary(*sent.value, documents).counts if sent else None
-            ids, hashes, values = [], [], []
-            for key, n, c1, c2, name, hash_, train in _merged_texts(batches, 3 if has_counts else 1):
+            rows, values = [], []
+            for key, n, c1, c2, row in _merged(batches, 3 if has_counts else 1, rows=True):
                 order = np.argsort(key, kind="stable")
-                key, n, name, hash_, train = key[order], n[order].astype(np.int64), name[order], hash_[order], train[order]
+                key, n, row = key[order], n[order].astype(np.int64), row[order]
+                n, train = n >> 1, n & 1
                 head = np.concatenate(([True], key[1:] != key[:-1]))
                 at = np.flatnonzero(head)
                 pair = np.add.reduceat(n * train, at)[np.cumsum(head) - 1]
                 c1, c2 = (counts[key >> 32], counts[key & 0xFFFFFFFF]) if counts is not None else (c1[order], c2[order])
-                name, hash_, value = _summed([name], [hash_], [weights.log10(pair, c1, c2) * n])
-                ids.append(name)
-                hashes.append(hash_)
+                row, value = _summed([row], [weights.log10(pair, c1, c2) * n])
+                rows.append(row)
                 values.append(value)
-            if not ids:
+            if not rows:
                 return
-            ids, hashes, values = _summed(ids, hashes, values)
-            part = _part(ids ^ hashes, doc_parts)
+            rows, values = _summed(rows, values)
+            part = _part(rows, doc_parts)
             order = np.argsort(part, kind="stable")
-            part, ids, hashes, values = part[order], ids[order], hashes[order], values[order]
+            part, rows, values = part[order], rows[order], values[order]
             edge = np.flatnonzero(np.diff(part, prepend=-1))
             spans = list(zip(edge, np.append(edge[1:], len(part)), strict=True))
-            packed = [[common.pack(ids[lo:hi]), common.pack(hashes[lo:hi]), values[lo:hi].tobytes()] for lo, hi in spans]
+            packed = [[common.pack(np.diff(rows[lo:hi], prepend=0)), values[lo:hi].tobytes()] for lo, hi in spans]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part[edge]), pa.array([int(hi - lo) for lo, hi in spans], pa.int64()), pa.array(packed, pa.list_(pa.binary()))],
                 names=["part", "n", "columns"],
             )
 
         def merged(batches):
-            """One sum for each text from the packed partial sums of all word pairs' parts."""
+            """One sum for each row from the packed partial sums of all word pairs' parts."""
             parts: dict[int, list] = {}
             for batch in batches:
                 for part, n, columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     parts.setdefault(part, []).append((n, columns))
             for blobs in parts.values():
-                ids, hashes = ([common.unpack(c[i], n, np.int64) for n, c in blobs] for i in (0, 1))
-                ids, hashes, values = _summed(ids, hashes, [np.frombuffer(c[2]) for _, c in blobs])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hashes), pa.array(values)], names=["id", "hash", "rest"])
+                rows, values = _summed(
+                    [np.cumsum(common.unpack(c[0], n, np.int64)) for n, c in blobs], [np.frombuffer(c[1]) for _, c in blobs]
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(values)], names=["of_row", "rest"])
 
         stats = rows.mapInArrow(
-            per_row, "doc_id bigint, text_hash bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, part double"
+            per_row, "row_ bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, part double"
         )
         rest = (
-            rows.mapInArrow(pairs, "part bigint, n bigint, keys binary, more array<binary>, texts bigint, names array<binary>")
+            rows.mapInArrow(pairs, "part bigint, n bigint, keys binary, more array<binary>")
             .repartition(self.partitions, "part")
             .mapInArrow(sums, "part bigint, n bigint, columns array<binary>")
             .repartition(doc_partitions, "part")
-            .mapInArrow(merged, "id bigint, hash bigint, rest double")
+            .mapInArrow(merged, "of_row bigint, rest double")
         )
         return stats, rest
 
 
-def _summed(ids: list, hashes: list, values: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values added up by (id, hash)."""
-    ids, hashes, values = np.concatenate(ids), np.concatenate(hashes), np.concatenate(values)
-    order = np.lexsort((hashes, ids))
-    ids, hashes = ids[order], hashes[order]
-    at = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1]))))
-    return ids[at], hashes[at], np.add.reduceat(values[order], at)
+def _summed(rows: list, values: list) -> tuple[np.ndarray, np.ndarray]:
+    """Values added up by row; rows in order."""
+    rows, values = np.concatenate(rows), np.concatenate(values)
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    at = np.flatnonzero(np.concatenate((np.ones(min(1, len(rows)), bool), rows[1:] != rows[:-1])))
+    return rows[at], np.add.reduceat(values[order], at) if len(at) else values
 
 
-def _merged(batches, columns: int):
-    """The blobs of each part of a partition, one part at a time: key, counts (and the counts of both words)."""
+def _merged(batches, columns: int, rows: bool = False):
+    """The blobs of each part of a partition, one part at a time: key, counts, counts of both words or None, and rows if they are there."""
     parts: dict[int, list] = {}
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             parts.setdefault(row[0], []).append(row[1:])
-    for rows in parts.values():
-        key = np.concatenate([np.cumsum(common.unpack(k, n, np.int64)) for n, k, _ in rows])
-        kinds = [np.uint32, np.int64, np.int64][:columns]
-        found = [np.concatenate([common.unpack(m[i], n, kind) for n, _, m in rows]) for i, kind in enumerate(kinds)]
-        yield key, *found, *[None] * (3 - columns)
-
-
-def _merged_texts(batches, columns: int):
-    """As ``_merged``, with the id and hash of each entry's text and whether it is for training."""
-    parts: dict[int, list] = {}
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
-            parts.setdefault(row[0], []).append(row[1:])
-    for rows in parts.values():
-        out = [[] for _ in range(columns + 4)]
-        for n, k, m, texts, names in rows:
-            out[0].append(np.cumsum(common.unpack(k, n, np.int64)))
-            for i, kind in enumerate([np.uint32, np.int64, np.int64][:columns]):
-                out[1 + i].append(common.unpack(m[i], n, kind))
-            text = common.unpack(m[columns], n, np.uint32)
-            out[-3].append(common.unpack(names[0], texts, np.int64)[text])
-            out[-2].append(common.unpack(names[1], texts, np.int64)[text])
-            out[-1].append(np.unpackbits(np.frombuffer(names[2], np.uint8), count=texts)[text])
-        found = [np.concatenate(c) for c in out]
-        yield *found[: 1 + columns], *[None] * (3 - columns), *found[-3:]
+    while parts:
+        blobs = parts.popitem()[1]
+        key = np.concatenate([np.cumsum(common.unpack(k, n, np.int64)) for n, k, _ in blobs])
+        kinds = [np.uint32, np.int64, np.int64][:columns] + [np.int64] * rows
+        found = [np.concatenate([common.unpack(m[i], n, kind) for n, _, m in blobs]) for i, kind in enumerate(kinds)]
+        yield key, *found[:columns], *[None] * (3 - columns), *found[columns:]
 
 
 def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
@@ -459,28 +425,25 @@ def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
 
     A null text counts as empty: its end alone is scored. A row with a null id is
     for training. Repeated rows each give a row, and count as often as they stand;
-    extra columns are dropped; an empty table gives an empty result. Without
+    so do rows that share an id or have none. Whole texts are read; a text takes
+    memory in proportion to its length. Extra columns of any name are dropped; an empty table gives an empty result. Without
     training documents every token is unknown and scores as uniform.
     """
-    common.small_batches(docs.sparkSession)
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    held_out = F.coalesce(common.crc_mod("doc_id", HELD_OUT_MODULUS) == HELD_OUT_REMAINDER, F.lit(False))
-    rows = docs.select(
-        text.alias("text"), docs["doc_id"].cast("long").alias("doc_id"), F.shiftright(F.xxhash64(text), 32).alias("text_hash"),
-        held_out.alias("held_out"), (~held_out).alias("training"),
-    )
-    model = Model(rows, broadcast_words)
-    stats, rest = model.scores()
-    stats = materialize(stats)
-    # rows that are the same in id and text were summed together
-    alike = stats.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("text_hash").alias("hash")).agg(F.count(F.lit(1)).alias("rows"))
-    rest = materialize(rest.join(alike.where("rows > 1"), ["id", "hash"], "left").select(
-        "id", "hash", (F.col("rest") / F.coalesce("rows", F.lit(1))).alias("rest")))
-    joined = stats.join(rest, (F.coalesce("doc_id", F.lit(-1)) == F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
-    return joined.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score",
-        (F.col("part") + F.coalesce("rest", F.lit(0.0))).alias("score"),
-    )
+    with common.scratch(docs.sparkSession) as keep:
+        numbered = common.with_rows(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+        held_out = F.coalesce(common.crc_mod("doc_id", HELD_OUT_MODULUS) == HELD_OUT_REMAINDER, F.lit(False))
+        rows = numbered.select(
+            "text", F.col("doc_id").cast("long").alias("doc_id"), "row_", held_out.alias("held_out"), (~held_out).alias("training")
+        )
+        model = Model(rows, broadcast_words)
+        stats, rest = model.scores()
+        joined = stats.join(rest, F.col("row_") == F.col("of_row"), "left")
+        return keep(
+            joined.select(
+                "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score",
+                (F.col("part") + F.coalesce("rest", F.lit(0.0))).alias("score"),
+            )
+        )
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
