@@ -28,11 +28,18 @@ def duplicate_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def first_duplicate(rows: DataFrame, scope: Sequence[str], keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Per scope the first pair of entries that share a key: (scope, first, second), positions from 0."""
     position = F.row_number().over(Window.partitionBy(*scope).orderBy(*order)) - 1
-    numbered = rows.withColumn("position", position)
-    pairs = numbered.groupBy(*scope, *keys).agg(F.sort_array(F.collect_list("position")).alias("at")).where(F.size("at") > 1)
-    return pairs.groupBy(*scope).agg(F.min(F.struct(F.col("at")[1].alias("second"), F.col("at")[0].alias("first"))).alias("p")).select(
-        *scope, "p.first", "p.second"
-    )
+    turn = F.row_number().over(Window.partitionBy(*scope, *keys).orderBy("position__"))
+    # the first two entries of a key are all that is kept of it
+    two = rows.withColumn("position__", position).withColumn("turn__", turn).where("turn__ <= 2")
+    pairs = two.groupBy(*scope, *keys).agg(F.min("position__").alias("first"), F.max("position__").alias("second"), F.max("turn__").alias("turns"))
+    return pairs.where("turns = 2").groupBy(*scope).agg(F.min(F.struct("second", "first")).alias("p")).select(*scope, "p.first", "p.second")
+
+
+def childless(parents: DataFrame, keys: Sequence[str], children: DataFrame, child_keys: Sequence[str]) -> DataFrame:
+    """Parents without any child, with 0 as ``entries``: an anti join."""
+    there = children.select(*[F.col(c).alias(f"{c}__key") for c in child_keys])
+    on = [F.col(k) == F.col(f"{c}__key") for k, c in zip(keys, child_keys, strict=True)]
+    return parents.join(there, on, "left_anti").withColumn("entries", F.lit(0).cast("long"))
 
 
 def counted(parents: DataFrame, keys: Sequence[str], children: DataFrame, child_keys: Sequence[str], what: Column | None = None, name: str = "entries") -> DataFrame:
@@ -46,7 +53,15 @@ def counted(parents: DataFrame, keys: Sequence[str], children: DataFrame, child_
 
 def nth(rows: DataFrame, scope: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     """The n-th entry (from 1) of each scope; ``order`` must be total for a fixed result."""
-    return rows.withColumn("position__", F.row_number().over(Window.partitionBy(*scope).orderBy(*order))).where(F.col("position__") == n).drop("position__")
+    if n == 1:
+        # the least entry combines within tasks; nothing is sorted
+        rest = [c for c in rows.columns if c not in {*scope, *order}]
+        least = F.min_by(F.struct(*rest), F.struct(*order)) if rest else F.lit(None)
+        found = rows.groupBy(*scope).agg(F.min(F.struct(*order)).alias("order__"), least.alias("rest__"))
+        taken = {**{c: F.col(f"rest__.{c}") for c in rest}, **{c: F.col(f"order__.{c}") for c in order}, **{c: F.col(c) for c in scope}}
+        return found.select(*[taken[c].alias(c) for c in rows.columns])
+    position = F.row_number().over(Window.partitionBy(*scope).orderBy(*order))
+    return rows.withColumn("position__", position).where(F.col("position__") == n).drop("position__")
 
 
 def referenced(rows: DataFrame, column: str, target: DataFrame, target_column: str, take: Sequence[str], prefix: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline.errors import SchemaError
@@ -47,7 +47,11 @@ class TablePlan:
         if node.type.name == "leafref":
             target, column = self.relations[table].references[leaf]
             return rules.orphans(rows, [leaf], target.rows, [column])
-        return rules.breaking(rows, valid(F.col(leaf), node.type, self.identities))
+        return rules.breaking(rows, self._valid(table, node))
+
+    def _valid(self, table: str, leaf: Node) -> Column:
+        kind = dict(self.relations[table].rows.dtypes)[leaf.name]
+        return valid(F.col(leaf.name), leaf.type, self.identities, kind=kind)
 
     def key_violations(self, table: str) -> DataFrame:
         return rules.duplicate_keys(self.relations[table].rows, self.lists[table].keys)
@@ -76,6 +80,9 @@ class TablePlan:
     def element_violations(self, parent: str, child: str, least: int | None = None, most: int | None = None) -> DataFrame:
         """(parent rows, entries) with too few or too many entries of a child list."""
         below, keys = self.relations[parent].children[child]
+        if least == 1 and most is None:
+            # none at all: no entry has to be counted
+            return rules.childless(self.relations[parent].rows, [p for p, _ in keys], below.rows, [c for _, c in keys])
         counts = rules.counted(self.relations[parent].rows, [p for p, _ in keys], below.rows, [c for _, c in keys])
         low = F.col("entries") < least if least is not None else F.lit(False)
         high = F.col("entries") > most if most is not None else F.lit(False)
@@ -85,8 +92,42 @@ class TablePlan:
         """Every leaf's type in one pass: rows with the names of the leaves that break theirs."""
         rows = self.relations[table].rows
         checks = [
-            F.when(~valid(F.col(leaf.name), leaf.type, self.identities), F.lit(leaf.name))
+            F.when(~self._valid(table, leaf), F.lit(leaf.name))
             for leaf in self.lists[table].children
             if leaf.type and leaf.type.name not in ("leafref", "instance-identifier")
         ]
         return rows.withColumn("broken", F.array_compact(F.array(*checks))).where(F.size("broken") > 0)
+
+    def violations(self) -> DataFrame:
+        """Every rule of the module over its tables: (table, key, rule, leaf), a row for each rule that an entry breaks.
+
+        ``key`` is the entry's key leaves as text, in the schema's order. Types and
+        mandatory leaves of a list are one pass over its table; keys, references,
+        musts, whens and element counts are a query each.
+        """
+        found = []
+        for table, node in self.lists.items():
+            rows = self.relations[table].rows
+            columns = {c.name for c in node.children if c.name in rows.columns}
+            key = F.concat_ws(" ", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in node.keys])
+            report = lambda df, rule, leaf=None, key=key, table=table: df.select(
+                F.lit(table).alias("table"), key.alias("key"), F.lit(rule).alias("rule"), (F.lit(leaf) if not isinstance(leaf, Column) else leaf).cast("string").alias("leaf")
+            )
+            leaves = [c for c in node.children if c.name in columns]
+            found.append(report(self.all_types(table).withColumn("leaf__", F.explode("broken")), "type", F.col("leaf__")))
+            required = [c for c in leaves if c.mandatory or c.name in node.keys]
+            absent = F.array_compact(F.array(*[F.when(F.col(c.name).isNull(), F.lit(c.name)) for c in required])) if required else None
+            if absent is not None:
+                found.append(report(rows.withColumn("leaf__", F.explode(absent)), "mandatory", F.col("leaf__")))
+            if node.keys:
+                found.append(report(self.key_violations(table), "key"))
+            for leaf in leaves:
+                if leaf.type and leaf.type.name == "leafref":
+                    found.append(report(self.type_violations(table, leaf.name), "type", leaf.name))
+                if leaf.musts:
+                    found.append(report(self.must_violations(table, leaf.name).where(F.col(leaf.name).isNotNull()), "must", leaf.name))
+                if leaf.whens:
+                    found.append(report(self.when_violations(table, leaf.name), "when", leaf.name))
+            if node.musts:
+                found.append(report(self.must_violations(table), "must"))
+        return reduce(DataFrame.unionAll, found)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.errors import XPathError
@@ -21,11 +21,16 @@ from treeline.xpath.parser import Binary, Call, Literal, Path, Values, parse
 
 @dataclass
 class Relation:
-    """A table as a list: child lists by name with (parent column, child column) pairs, references by leaf."""
+    """A table as a list: child lists by name with (parent column, child column) pairs, references by leaf.
+
+    ``order`` names the columns that put the entries of a parent in order; without
+    it they have no positions.
+    """
 
     rows: DataFrame
     children: dict[str, tuple[Relation, list[tuple[str, str]]]] = field(default_factory=dict)
     references: dict[str, tuple[Relation, str]] = field(default_factory=dict)
+    order: list[str] = field(default_factory=list)
 
 
 @dataclass
@@ -37,6 +42,13 @@ class Value:
     constant: bool = False
 
 
+def _sort(kind: str) -> str:
+    """How values of a column type compare."""
+    if kind in ("boolean",) or kind.startswith(("timestamp", "date")):
+        return "boolean" if kind == "boolean" else "time"
+    return "number" if kind.startswith(("int", "bigint", "small", "tiny", "double", "float", "decimal")) else "text"
+
+
 @dataclass
 class Entries:
     """Child entries that pass a condition, and the leaf taken from each (None: the entries themselves)."""
@@ -65,9 +77,7 @@ class Compiler:
     def _leaf(self, name: str) -> Value:
         if name not in self.kinds:
             raise XPathError(f"no leaf {name!r}")
-        kind = self.kinds[name]
-        sort = "boolean" if kind == "boolean" else "number" if kind.startswith(("int", "bigint", "small", "tiny", "double", "float", "decimal")) else "text"
-        return Value(F.col(name), sort)
+        return Value(F.col(name), _sort(self.kinds[name]))
 
     def value(self, tree):
         if isinstance(tree, Literal):
@@ -100,11 +110,18 @@ class Compiler:
             return self._leaf(steps[0])
         head = steps[0]
         if head.name in self.relation.children and len(steps) <= 2:
-            child, _ = self.relation.children[head.name]
+            child, keys = self.relation.children[head.name]
             condition = None
             if head.predicate is not None:
                 inner = Compiler(child)
-                condition = inner.truth(inner.value(head.predicate))
+                found = inner.value(head.predicate)
+                if isinstance(found, Value) and found.kind == "number":
+                    if not child.order:
+                        raise XPathError(f"entries of {head.name!r} have no order, so no positions")
+                    at = Window.partitionBy(*[c for _, c in keys]).orderBy(*child.order)
+                    condition = F.row_number().over(at) == F.floor(found.column)
+                else:
+                    condition = inner.truth(found)
                 if inner.rows is not child.rows:
                     raise XPathError("a predicate over joined rows is not compiled to columns")
             return Entries(head.name, condition, steps[1].name if len(steps) == 2 else None)
@@ -151,6 +168,18 @@ class Compiler:
         self.rows = self.rows.join(counts, on, "left").drop(*key_columns)
         return F.coalesce(F.col(name), F.lit(0))
 
+    def _ends(self, e: Entries) -> dict[str, Column]:
+        """The least and the greatest value of the entries that pass; null if there are none."""
+        child, keys = self.relation.children[e.name]
+        self.made += 1
+        name = f"set{self.made}__"
+        passing = child.rows.select(*[F.col(c).alias(f"{name}k{i}") for i, (_, c) in enumerate(keys)], F.col(e.leaf).alias(f"{name}v"), (F.lit(True) if e.condition is None else e.condition).alias(f"{name}p"))
+        key_columns = [f"{name}k{i}" for i in range(len(keys))]
+        ends = passing.where(f"{name}p").groupBy(*key_columns).agg(F.min(f"{name}v").alias(f"{name}least"), F.max(f"{name}v").alias(f"{name}most"))
+        on = [F.col(p) == F.col(k) for (p, _), k in zip(keys, key_columns, strict=True)]
+        self.rows = self.rows.join(ends, on, "left").drop(*key_columns)
+        return {k: F.col(f"{name}{k}") for k in ("least", "most")}
+
     # functions and operators -----------------------------------------------
 
     def truth(self, v) -> Column:
@@ -163,7 +192,9 @@ class Compiler:
         return F.coalesce(v.column != "", F.lit(False))
 
     def _text(self, v: Value) -> Column:
-        return F.coalesce(v.column.cast("string"), F.lit(""))
+        text = v.column.cast("string")
+        # booleans are spelt as documents spell them
+        return F.coalesce(F.initcap(text) if v.kind == "boolean" else text, F.lit(""))
 
     def _number(self, v: Value) -> Column:
         return F.coalesce(v.column.cast("string").try_cast("double") if v.kind == "text" else v.column.cast("double"), F.lit(float("nan")))
@@ -188,11 +219,16 @@ class Compiler:
             case "concat":
                 return Value(F.concat(*map(self._text, args)), "text")
             case "translate":
-                source, target = (c.args[i].value for i in (1, 2))
-                return Value(F.translate(self._text(args[0]), source, target), "text")
+                # quotes around the characters go; of a repeated character the last place counts
+                source, target = (c.args[i].value.strip("'\"") for i in (1, 2))
+                last = {ch: i for i, ch in enumerate(source)}
+                order = sorted(last, key=lambda ch: (last[ch] >= len(target), last[ch]))
+                return Value(F.translate(self._text(args[0]), "".join(order), "".join(target[last[ch]] for ch in order if last[ch] < len(target))), "text")
             case "current" if self.leaf:
                 return self._leaf(self.leaf)
-        raise XPathError(f"{c.name}() is not compiled to columns")
+            case "deref" | "derived-from" | "derived-from-or-self" | "current":
+                raise XPathError(f"{c.name}() is not compiled to columns")
+        return Value(F.lit(None).cast("string"), "text")  # an unknown function has no value, so it fails
 
     def _binary(self, b: Binary):
         if b.op in ("or", "and"):
@@ -215,10 +251,21 @@ class Compiler:
             left, right, op = right, left, {"<": ">", ">": "<", "<=": ">=", ">=": "<="}.get(op, op)
         if isinstance(left, Entries):
             kind = dict(self.relation.children[left.name][0].rows.dtypes)[left.leaf]
-            sort = "text" if kind == "string" else "number" if not kind.startswith("timestamp") else "time"
+            sort = _sort(kind)
             constant = isinstance(right, Values) or right.constant
-            test = lambda v: self._pair(op, Value(v, sort), right)
-            return self._count(left, test, outer=not constant) > 0
+            if constant:
+                return self._count(left, lambda v: self._pair(op, Value(v, sort), right)) > 0
+            if op != "=" and sort == right.kind and sort in ("number", "time"):
+                # some entry is below a value if the least one is: one aggregation, and no entry is joined
+                ends = self._ends(left)
+                some = {"<": "least", "<=": "least", ">": "most", ">=": "most"}[op]
+                found = F.coalesce(_OPS[op](ends[some], right.column), F.lit(False))
+                empty = ends["least"].isNull()
+            else:
+                found = self._count(left, lambda v: self._pair(op, Value(v, sort), right), outer=True) > 0
+                empty = self._ends(left)["least"].isNull() if op in ("=", "<=", ">=") else F.lit(False)
+            # two empty sides are equal
+            return found | (empty & right.column.isNull()) if op in ("=", "<=", ">=") else found
         if isinstance(right, Values):
             return F.coalesce(left.column.isin(list(right.items)), F.lit(False))
         both = left.column.isNull() & right.column.isNull()
