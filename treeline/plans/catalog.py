@@ -7,9 +7,9 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from treeline.operators import rules
+from treeline.plans import document_catalog
 from treeline.plans.tables import TablePlan
 from treeline.schema.load import parse_string
 from treeline.schema.model import Module
@@ -92,15 +92,14 @@ def module() -> Module:
     return parse_string(SCHEMA)
 
 
-_schemas: dict[str, StructType] = {}
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; its schema is read from the files once per path."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan of fewer tasks than there are cores, dealt to all of them; of a larger scan as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def plan(spark: SparkSession, sf_dir: str) -> TablePlan:
@@ -109,8 +108,8 @@ def plan(spark: SparkSession, sf_dir: str) -> TablePlan:
 
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = dict(document_catalog.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(document_catalog.ORACLE_SQL)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -320,6 +319,6 @@ def document_rules(spark, d):
     from treeline.plans.documents import violations
 
     columns = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
-    orders = spark.read.parquet(f"{d}/orders.parquet")
+    orders = spread(spark.read.parquet(f"{d}/orders.parquet").select(*columns))
     docs = orders.select(F.col("o_orderkey").alias("doc_id"), F.to_json(F.struct(F.struct(*columns).alias("order"))).alias("doc"))
     return violations(docs, parse_string(ROWS_SCHEMA)).select("doc_id", "rule")
