@@ -322,3 +322,73 @@ def document_rules(spark, d):
     orders = spread(spark.read.parquet(f"{d}/orders.parquet").select(*columns))
     docs = orders.select(F.col("o_orderkey").alias("doc_id"), F.to_json(F.struct(F.struct(*columns).alias("order"))).alias("doc"))
     return violations(docs, parse_string(ROWS_SCHEMA)).select("doc_id", "rule")
+
+
+@query("""SELECT "table", rule, leaf, count(*) AS entries FROM (
+SELECT 'lineitem' AS "table", 'type' AS rule, 'l_quantity' AS leaf FROM lineitem WHERE NOT (l_quantity BETWEEN 1 AND 10)
+UNION ALL SELECT 'part', 'type', 'p_brand' FROM part WHERE NOT regexp_full_match(p_brand, 'Brand#1[0-9]')
+UNION ALL SELECT 'part', 'type', 'p_size' FROM part WHERE NOT (p_size BETWEEN 1 AND 10)
+UNION ALL SELECT 'customer', 'type', 'c_acctbal' FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT 'events', 'type', 'event_type' FROM events WHERE event_type NOT IN ('click', 'view', 'purchase')
+UNION ALL SELECT 'documents', 'type', 'text' FROM documents WHERE length(text) > 5000
+UNION ALL SELECT 'documents', 'type', 'doc_id' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT 'labels', 'type', 'doc_id' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+UNION ALL SELECT 'orders', 'type', 'o_custkey' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'lineitem', 'type', 'l_partkey' FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)
+UNION ALL SELECT 'lineitem', 'type', 'l_orderkey' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+UNION ALL SELECT 'lineitem', 'key', NULL FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
+UNION ALL SELECT 'orders', 'must', 'o_custkey' FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment IS DISTINCT FROM 'BUILDING'
+UNION ALL SELECT 'lineitem', 'must', NULL FROM lineitem WHERE NOT (l_discount < l_tax)
+UNION ALL SELECT 'part', 'must', NULL FROM part WHERE NOT (p_size <= 10 OR p_type = 'ECONOMY')
+UNION ALL SELECT 'documents', 'must', NULL FROM documents WHERE length(text) - length(replace(text, ' ', '')) > 100
+UNION ALL SELECT 'conversations', 'must', NULL FROM conversations WHERE turn = 0 AND role <> 'user'
+) GROUP BY ALL""")
+def all_rules(spark, d):
+    """Every rule of the module in one call: how many entries break each."""
+    found = plan(spark, d).violations()
+    return found.groupBy("table", "rule", "leaf").agg(F.count(F.lit(1)).alias("entries"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem) WHERE rn = 2")
+def second_entry(spark, d):
+    rows = plan(spark, d).relations["lineitem"].rows
+    return rules.nth(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], 2).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("""SELECT o_orderkey FROM orders LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem) l
+ON l_orderkey = o_orderkey AND rn = 1 WHERE NOT coalesce(l_quantity > 10, false)""")
+def must_first_entry(spark, d):
+    """A position in a compiled path: the relation names the order of its entries."""
+    from treeline.xpath.columns import violating
+
+    orders = plan(spark, d).relations["orders"]
+    orders.children["lineitem"][0].order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    return violating(orders, "lineitem[1]/l_quantity > 10").select("o_orderkey")
+
+
+def _entry_query(name: str, expression: str, holds: str) -> None:
+    """Register a must over orders as a compiled column, and the entries that break it."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return _orders(spark, d, expression)
+
+    run.__name__ = f"table_{name}"
+    query(f"SELECT o_orderkey FROM orders WHERE ({holds}) IS NOT TRUE")(run)
+
+
+def _line(test: str = "true") -> str:
+    return f"EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND {test})"
+
+
+_entry_query("not", "not(lineitem[l_quantity > 49])", f"NOT {_line('l_quantity > 49')}")
+_entry_query("boolean", "boolean(lineitem[l_returnflag = 'R']) and lineitem", _line("l_returnflag = 'R'"))
+_entry_query("true_false", "true() and not(false()) and o_orderstatus = 'O'", "o_orderstatus = 'O'")
+_entry_query("string", "string-length(string(o_orderkey)) < 4", "length(CAST(o_orderkey AS VARCHAR)) < 4")
+_entry_query("number", "number(translate(o_orderpriority, '-ABCDEFGHIJKLMNOPQRSTUVWXYZ ', '')) < 3", "CAST(substr(o_orderpriority, 1, 1) AS INTEGER) < 3")
+_entry_query("concat", "string-length(concat(o_orderstatus, o_orderpriority)) < 8", "length(o_orderstatus || o_orderpriority) < 8")
+_entry_query("arithmetic", "o_totalprice - 2 * 1000 + 500 > - (-100000)", "o_totalprice - 2000 + 500 > 100000")
+_entry_query("several_predicates", "count(lineitem[l_quantity > 10 and l_returnflag = 'R']) <= 1", "(SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 10 AND l_returnflag = 'R') <= 1")
+_entry_query("most", "lineitem/l_quantity >= 45", _line("l_quantity >= 45"))
+_entry_query("least", "lineitem/l_extendedprice < o_totalprice", _line("l_extendedprice < o_totalprice"))
+_entry_query("unknown_function", "unheard-of(o_orderstatus) or o_orderstatus = 'F'", "o_orderstatus = 'F'")
+_entry_query("text_as_number", "o_custkey < '500'", "o_custkey < 500")
