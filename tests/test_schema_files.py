@@ -87,3 +87,38 @@ def test_stream(spark, tmp_path):
     assert {r.rule for r in spark.table("found").collect()} == {"type", "unknown"}
     timed = spark.table("found").selectExpr("timestamp'2024-01-01 00:00:10' as at", "rule")
     assert windowed_counts(timed, "at").count() == 2
+
+
+def test_imports_by_revision(tmp_path):
+    from treeline.schema.load import Loader
+
+    for revision, leaf in (("2020-01-01", "old"), ("2021-01-01", "new")):
+        (tmp_path / f"a@{revision}.yang").write_text(f"module a {{ namespace 'urn:a'; prefix a; revision {revision}; grouping g {{ leaf {leaf} {{ type string; }} }} }}")
+    loader = Loader([tmp_path])
+    new, old, again = (loader.imported("a", r, None) for r in (None, "2020-01-01", None))
+    assert [list(m.groupings) for m in (new, old)] == [["g"], ["g"]] and again is new
+    assert [m.revisions[0][0] for m in (new, old)] == ["2021-01-01", "2020-01-01"]
+
+
+def test_patterns_are_of_the_whole_value():
+    import re
+
+    from treeline.schema.json_schema import emit_type, load_type
+    from treeline.schema.model import Pattern, TypeSpec
+
+    for patterns in ([Pattern("a|b")], [Pattern("[a-z]+"), Pattern("x.*", True)], [Pattern("x", True)]):
+        out, extra = emit_type(TypeSpec("string", patterns=patterns))
+        tests = out.get("allOf") or [{"pattern": out["pattern"]}]
+        for value in ("a", "ab", "b", "xy", "x"):
+            want = all((re.fullmatch(p.text, value) is not None) != p.invert for p in patterns)
+            got = all((re.search(t.get("not", t)["pattern"], value) is not None) != ("not" in t) for t in tests)
+            assert got == want
+        assert [(p.text, p.invert) for p in load_type(out, {}, {}).patterns] == [(p.text, p.invert) for p in patterns]
+
+
+def test_modules_as_rows(spark):
+    from treeline.cli import described
+    from treeline.schema.load import parse_string
+
+    row = described(spark, [parse_string("module m { namespace 'urn:m'; prefix m; feature f; leaf a { type string; } }")]).first()
+    assert (row.module, row.features, row.nodes) == ("m", 1, 1)

@@ -27,6 +27,13 @@ def describe(module: Module) -> dict:
     }
 
 
+def described(spark, modules: list[Module]):
+    """A DataFrame of one row for each module."""
+    numbers = ("typedefs", "identities", "features", "groupings", "nodes")
+    schema = ", ".join(["module string", "version string", "namespace string", "prefix string", *(f"{n} int" for n in numbers)])
+    return spark.createDataFrame([tuple(describe(m).values()) for m in modules], schema)
+
+
 def load_data(path: str | None):
     text = Path(path).read_text(encoding="utf-8") if path else sys.stdin.read()
     if path and path.endswith((".yaml", ".yml")):

@@ -79,10 +79,10 @@ def breaking(name: str, rule: str, parts: str, sql: str, head: str = "", options
     ORACLE_SQL[name] = _sql(sql)
 
 
-def must(name: str, expression: str, holds: str, own: str = "", head: str = "") -> None:
+def must(name: str, expression: str, holds: str, own: str = "", head: str = "", options: Options | None = None) -> None:
     """A must of the order: the documents for which ``holds`` is not true break it."""
     parts = f'must "{expression}"; {own}'
-    breaking(f"must_{name}", "must", parts, f"({holds}) IS NOT TRUE", head, own=tuple(k for k in TYPES if f"leaf {k} " in own))
+    breaking(f"must_{name}", "must", parts, f"({holds}) IS NOT TRUE", head, options, own=tuple(k for k in TYPES if f"leaf {k} " in own))
 
 
 def _some(test: str = "true") -> str:
@@ -127,6 +127,8 @@ must("concat", "string-length(concat(status, priority, '!')) < 9", "length(statu
 must("unknown_function", "unheard-of(status) or status = 'F'", "status = 'F'")
 must("truth_of_number", "number(size) and status", "coalesce(size, 7) <> 0", _SIZE)
 must("quoted", "status != 'a\\\\'b' and status = 'F'", "status = 'F'")
+must("contains", "contains(priority, 'E') and substring-after(priority, '-') != 'LOW' and substring-before(priority, '-') > 1",
+     "priority LIKE '%E%' AND substr(priority, 3) <> 'LOW' AND CAST(substr(priority, 1, 1) AS INTEGER) > 1", options=Options(extended=True))
 IDENTITIES = "identity state; identity done { base state; } identity closed { base done; } identity open { base state; }"
 _KIND = "leaf kind { type identityref { base state; } }"
 must("derived", "derived-from(kind, 'made:done')", "status = 'F'", _KIND, IDENTITIES)

@@ -55,8 +55,12 @@ def emit_type(t: TypeSpec) -> tuple[dict, dict]:
         if t.length:
             low, high = map(_number, single(t.length)[0])
             out |= {k: v for k, v in (("minLength", low), ("maxLength", high)) if v is not None}
-        if t.patterns and not t.patterns[0].invert:
-            out["pattern"] = t.patterns[0].text
+        # every pattern is of the whole value, and all of them hold
+        tests = [{"not": {"pattern": _anchored(p.text)}} if p.invert else {"pattern": _anchored(p.text)} for p in t.patterns]
+        if len(tests) == 1 and "pattern" in tests[0]:
+            out |= tests[0]
+        elif tests:
+            out["allOf"] = tests
     if t.range:
         extra["range"] = t.range
     if t.length:
@@ -74,6 +78,18 @@ def emit_type(t: TypeSpec) -> tuple[dict, dict]:
     return out, extra
 
 
+def _anchored(text: str) -> str:
+    if text.startswith("^") and text.endswith("$"):
+        return text
+    return f"^(?:{text})$" if "|" in text else f"^{text}$"
+
+
+def _plain(text: str) -> str:
+    """An anchored pattern as the schema language has it."""
+    inner = text.removeprefix("^").removesuffix("$")
+    return inner[3:-1] if inner.startswith("(?:") and inner.endswith(")") and _anchored(inner[3:-1]) == text else inner
+
+
 def _pattern(p: Pattern) -> dict:
     entry: dict = {"pattern": p.text}
     if p.invert:
@@ -113,7 +129,12 @@ def load_type(out: dict, extra: dict, typedefs: dict[str, TypeSpec]) -> TypeSpec
         if not t.length and ("minLength" in out or "maxLength" in out):
             t.length = f"{out.get('minLength', 'min')}..{out.get('maxLength', 'max')}"
         if not t.patterns and "pattern" in out:
-            t.patterns = [Pattern(out["pattern"].removeprefix("^").removesuffix("$"))]
+            t.patterns = [Pattern(_plain(out["pattern"]))]
+        if not t.patterns:
+            for test in out.get("allOf", []):
+                inner = test.get("not", test)
+                if "pattern" in inner:
+                    t.patterns.append(Pattern(_plain(inner["pattern"]), "not" in test))
     return t
 
 

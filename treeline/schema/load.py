@@ -59,10 +59,15 @@ class Loader:
         raise SchemaError(f"module {name!r} was not found")
 
     def imported(self, name: str, revision: str | None, folder: Path | None) -> Module:
-        if name not in self.loaded:
-            text, path = self.find(name, revision, folder)
-            self.text(text, str(path), path.parent)
-        return self.loaded[name]
+        """A module by name, and by revision if one is asked for: what another import got may be a later one."""
+        known = self.loaded.get(name)
+        if known is not None and (revision is None or not known.revisions or revision in (r for r, _ in known.revisions)):
+            return known
+        text, path = self.find(name, revision, folder)
+        found = self.text(text, str(path), path.parent)
+        if known is not None:
+            self.loaded[name] = known  # imports without a revision stay as they were
+        return found
 
 
 class _Builder:
