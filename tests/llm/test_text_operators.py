@@ -400,3 +400,68 @@ def test_pipeline(spark):
             assert docs.columns == before.columns and docs.dtypes == before.dtypes
         assert docs.count() > 0
         assert stage(spark, before.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
+def test_quality_scores_against_plain_loops():
+    net = quality.Network(3)
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    r = random.Random(4)
+    texts = [b"", b"a", b"hello world", "naïve é".encode(), bytes(r.randrange(256) for _ in range(1300))]
+
+    def score(text):
+        chunks = []
+        start = 0
+        while True:
+            chunk = text[start : start + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+            responses = []
+            for at in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+                window = np.concatenate([p["embed"][b] for b in chunk[at : at + quality.WIDTH]])
+                responses.append(window @ p["filters"])
+            chunks.append([max(0.0, max(one) + shift) for one, shift in zip(zip(*responses), p["shift"])])
+            if start + quality.CHUNK >= len(text):
+                break
+            start += quality.HOP
+        features = [sum(c) / len(chunks) for c in zip(*chunks)] + [max(c) for c in zip(*chunks)]
+        hidden = [sum(f * w for f, w in zip(features, column)) + shift for column, shift in zip(p["dense"].T, p["dense_shift"])]
+        logit = sum((h if h > 0 else 0.1 * h) * w for h, w in zip(hidden, p["out"])) + p["out_shift"][0]
+        return 1 / (1 + math.exp(-logit))
+
+    assert np.allclose(net.scores(texts), [score(t) for t in texts], atol=1e-5)
+
+
+CLASHES = "row_ gone_ removed of_ size_ id word n known text_hash place taken key count at_ row".split()
+
+
+def test_columns_with_clashing_names(spark):
+    """Columns named like the operators' own stay as they are where rows come back, and change nothing elsewhere."""
+    import corpus_pipeline
+    from treeline.llm.mixing import mix
+    from treeline.llm.packing import pack
+
+    texts = corpus(9, 40) + ["same line here now\nown line " + str(i) for i in range(4)]
+    plain = spark.createDataFrame([(i, t, "s" + str(i % 2), "en", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, source string, lang string, n_chars bigint")
+    extra = plain.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    rows = lambda df: sorted(map(str, df.select("doc_id", "text", "n_chars").collect()))
+    for f in (deduplicated, lambda d: corpus_pipeline.near_dedup(spark, d, ""), mix, lambda d: quality.keep_good(d, labels)):
+        out = f(extra)
+        assert out.columns == extra.columns and rows(out) == rows(f(plain))
+        assert all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in CLASHES)
+    for f in (fingerprints, lm.score, pack, lambda d: quality.classify(d, labels)):
+        assert sorted(map(str, f(extra).collect())) == sorted(map(str, f(plain).collect()))
+
+
+def test_hot_words_are_dealt_by_length(spark, monkeypatch):
+    """Cells of word and size band alone: the same lines go."""
+    from treeline.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "HOT", 2)
+    test_line_dedup(spark, 4)
+
+
+def test_intermediate_tables_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "_own", [f"file://{tmp_path}"])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = near_duplicates(frame(spark, corpus(3)))
+    assert len(list(tmp_path.iterdir())) == 1 and found.count() > 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
