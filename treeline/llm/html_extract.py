@@ -33,6 +33,8 @@ SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 # Elements by role.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "xmp", "noembed", "object"}
+#: Those of them that hold plain text: where one is not closed, the rest of the page is its text.
+TO_THE_END = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i",
     "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong",
@@ -122,7 +124,10 @@ class Page:
             if name in RAW:
                 if not closing and not attributes.endswith("/"):
                     found = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I).search(source, at)
-                    at = n if not found else max(source.find(">", found.start()) + 1, found.end())
+                    if found:
+                        at = max(source.find(">", found.start()) + 1, found.end())
+                    elif name in TO_THE_END:
+                        at = n
                 continue
             if name in INLINE:
                 if name == "a":
