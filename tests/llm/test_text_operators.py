@@ -389,6 +389,13 @@ def test_html_edges(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("tag,lost", [("object", False), ("noscript", False), ("svg", False), ("script", True), ("textarea", True)])
+def test_html_unclosed_elements(tag, lost):
+    page = f"<article><h1>A title</h1><p>The first paragraph of this text is here.</p><{tag}><p>The second paragraph of this text is here.</p></article>"
+    read = html_extract.Page(page)
+    assert any("second" in b for _, b in read.blocks) != lost and any("first" in b for _, b in read.blocks)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -459,9 +466,13 @@ def test_hot_words_are_dealt_by_length(spark, monkeypatch):
     test_line_dedup(spark, 4)
 
 
-def test_intermediate_tables_go(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(common, "_own", [f"file://{tmp_path}"])
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+def test_intermediate_tables_go(spark):
+    from pathlib import Path
+
+    shared = Path(common.shared_dir(spark).removeprefix("file://"))
+    shared.mkdir(exist_ok=True)
+    settings = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, setting = set(shared.iterdir()), spark.conf.get(settings)
     found = near_duplicates(frame(spark, corpus(3)))
-    assert len(list(tmp_path.iterdir())) == 1 and found.count() > 0
-    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert len(set(shared.iterdir()) - before) == 1 and found.count() > 0
+    assert spark.conf.get(settings) == setting
