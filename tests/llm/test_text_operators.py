@@ -277,6 +277,33 @@ def test_language_model(spark, limit):
         assert abs(r.score - want) < 1e-6
 
 
+def test_language_model_rare_words(spark):
+    """Beyond the words that are sent to every task, the most frequent are still sent and rows carry numbers of their rare words alone."""
+    r = random.Random(3)
+    texts = [" ".join(f"w{int(r.paretovariate(0.6))}" for _ in range(r.randint(0, 60))) for _ in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts), (400, None)], "doc_id bigint, text string")
+    one = Counter(w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2 for w in words(t))
+    want = {r.doc_id: r for r in lm.score(docs).collect()}
+    for limit in (50, len(one) - 1):
+        for x in lm.score(docs, limit).collect():
+            assert x[:5] == want[x.doc_id][:5]
+            assert np.allclose((x.base_score, x.score), (want[x.doc_id].base_score, want[x.doc_id].score), rtol=1e-12)
+    rows = common.with_rows(docs.fillna("")).select("text", "doc_id", "row_", F.lit(True).alias("held_out"), (common.crc_mod("doc_id", 7) != 2).alias("training"))
+    with common.scratch(spark):
+        model = lm.Model(rows, 50)
+        vocabulary = lm.Vocabulary(*model.sent.value, model.documents)
+        sent = len(vocabulary.words)
+        assert 0 < sent <= 50 and sorted(vocabulary.counts[:sent].tolist(), reverse=True) == sorted(one.values(), reverse=True)[:sent]
+        places = {}
+        for x in model.rows.collect():
+            rare = [w for w in set(words(x.text)) if one[w] and one[w] <= min(sorted(one.values(), reverse=True)[:sent]) - 1]
+            assert len(x.known or []) == len(rare)
+            places |= {k.word: k.place for k in x.known or []}
+        assert sorted(places.values()) == list(range(len(one) - sent))
+        numbers = vocabulary.unknown + 1 + np.arange(len(one) - sent)
+        assert vocabulary.count(numbers).tolist() == sorted(one.values())[: len(one) - sent]
+
+
 def test_language_model_edges(spark):
     rows = [(None, "a b"), (1, "a b"), (1, "a b"), (2, None)]
     got = lm.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()

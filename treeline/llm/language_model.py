@@ -5,7 +5,10 @@ l2, l1, l0 depend on the bucket of the context's frequency c(v): its bit length.
 The weights are learned by expectation-maximisation on held-out counts, each
 training event in turn held out of all counts: (c(v w) - 1) / (c(v) - 1) and so on.
 
-Words are counted first. Each word pair is two word numbers in one integer; pairs
+Words are counted first. The most frequent ones, all if they are few enough, are
+known to every task; the others are rare, and a document that has some carries their
+numbers, which follow their counts' order, so that a number tells its count. Each
+word pair is two word numbers in one integer; pairs
 are counted in one shuffle of compact columns (counts already summed within a
 task), which also gives the events for the weights. A second shuffle carries the
 pairs of each document to where their counts are and brings back partial sums of
@@ -19,15 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline.llm import common
 from treeline.llm.common import materialize
 
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 7, 2
-#: Word counts are sent to every task up to this many words (12 bytes each); beyond, they are joined to the documents.
+#: Word counts are sent to every task up to this many words (12 bytes each), the most frequent; numbers of rarer words are joined to the documents.
 BROADCAST_WORDS = 10_000_000
+#: Rare words of one count are numbered in so many parts.
+RARE_PARTS = 1024
 #: Pairs that make up more than one in this many of all are in the table of frequent pairs, so it has at most as many rows.
 FREQUENT_PAIRS = 1 << 19
 TOKENS_AT_ONCE = 3 << 18
@@ -40,21 +45,37 @@ _ZERO = -(1 << 20)
 
 
 class Vocabulary:
-    """Word counts by number: words in order of hash, then the end, the start and the unknown word."""
+    """Word counts by number: words in order of hash, then the end, the start and the unknown word, then rare words in order of count.
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, documents: int):
-        self.words = words
+    ``starts`` and ``classes`` are the places among the rare words where each count begins, and these counts.
+    """
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, starts: np.ndarray, classes: np.ndarray, documents: int):
+        self.words, self.starts, self.classes = words, starts, classes
         self.end, self.start, self.unknown = len(words), len(words) + 1, len(words) + 2
         self.counts = np.concatenate([counts, [documents, documents, 0]]).astype(np.int64)
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.full(len(hashes), self.unknown)
+    def numbers(self, hashes: np.ndarray, rare: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Numbers of words by their hashes; rare: hashes and places of the rare words that may be among them."""
         distinct, inverse = np.unique(hashes, return_inverse=True)  # sorted look-ups stay in cache
-        at = np.minimum(np.searchsorted(self.words, distinct), len(self.words) - 1)
-        return np.where(self.words[at] == distinct, at, self.unknown)[inverse]
-
-    def pairs(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = np.full(len(distinct), self.unknown)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, distinct), len(self.words) - 1)
+            found = np.where(self.words[at] == distinct, at, found)
+        if rare and len(rare[0]):
+            words, first = np.unique(rare[0], return_index=True)
+            at = np.minimum(np.searchsorted(words, distinct), len(words) - 1)
+            found = np.where(words[at] == distinct, self.unknown + 1 + rare[1][first][at], found)
+        return found[inverse]
+
+    def count(self, numbers: np.ndarray) -> np.ndarray:
+        found = self.counts[np.minimum(numbers, self.unknown)]
+        if len(self.starts):
+            rare = np.flatnonzero(numbers > self.unknown)
+            found[rare] = self.classes[np.searchsorted(self.starts, numbers[rare] - self.unknown - 1, side="right") - 1]
+        return found
+
+    def pairs(self, texts: list[bytes], rare: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, first word, second word) of every token of the texts, the ends included."""
         hashes, counts = common.word_hashes(texts)
         text = np.repeat(np.arange(len(texts)), counts + 1)
@@ -62,18 +83,12 @@ class Vocabulary:
         second = np.full(len(text), self.end)
         inside = np.ones(len(text), bool)
         inside[ends] = False
-        second[inside] = self.numbers(hashes)
+        second[inside] = self.numbers(hashes, rare)
         first = np.concatenate(([self.start], second[:-1]))
         first[ends[:-1] + 1] = self.start
         return text, first, second
 
 
-def _local(known: list[tuple[int, int]] | None, documents: int) -> Vocabulary:
-    """The vocabulary of one document whose words' counts were joined to it."""
-    found = sorted((w % (1 << 64), n) for w, n in known or [])
-    return Vocabulary(np.array([w for w, _ in found], np.uint64), np.array([n for _, n in found], np.int64), documents)
-
-
 def _key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return first.astype(np.int64) << 32 | second.astype(np.int64)
 
@@ -150,79 +165,93 @@ class Model:
         words, self.distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
         self.documents = training.count()
         self.tokens = words + self.documents
-        self.sent = None
-        if self.distinct <= broadcast_words:
-            found = counts.toArrow()
-            w, n = found.column("word").to_numpy().view(np.uint64), found.column("n").to_numpy().astype(np.int32)
-            del found
-            order = np.argsort(w)
-            self.sent = spark.sparkContext.broadcast((w[order], n[order]))
-            del w, n, order
-            self.rows = rows.withColumn("known", F.lit(None).cast("array<struct<word:bigint,n:bigint>>"))
+        least, starts, classes, rare = 1, *np.zeros((2, 0), np.int64), None
+        if self.distinct > broadcast_words:
+            least, starts, classes, rare = self._rare(counts, broadcast_words)
+        found = counts.where(F.col("n") >= least).toArrow()
+        w, n = found.column("word").to_numpy().view(np.uint64), found.column("n").to_numpy().astype(np.int32)
+        del found
+        order = np.argsort(w)
+        self.sent = spark.sparkContext.broadcast((w[order], n[order], starts, classes))
+        del w, n, order
+        if rare is None:
+            self.rows = rows.withColumn("known", F.lit(None).cast("array<struct<word:bigint,place:bigint>>"))
         else:
-            self.rows = self._joined(rows, counts)
+            self.rows = self._joined(rows, rare)
         self.distinct += self.documents > 0  # the end
         self.partitions = max(1, -(-self.tokens // ENTRIES_PER_PARTITION))
         self.parts = max(64, 2 * self.partitions)
         self._count_pairs()
 
-    def _joined(self, rows: DataFrame, counts: DataFrame) -> DataFrame:
-        """The rows with their own words' counts as a list: the way beyond a vocabulary that can be sent to every task."""
-        numbered = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
+    def _rare(self, counts: DataFrame, broadcast_words: int) -> tuple[int, np.ndarray, np.ndarray, DataFrame]:
+        """The least count of words sent to every task; of the rarer ones, where each count begins, these counts, and (word, place)."""
+        # the words' number is at least the sum of the different counts, so these are few
+        classes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).toArrow().sort_by([("n", "descending")])
+        n, words = (classes.column(c).to_numpy() for c in ("n", "words"))
+        sent = int(np.searchsorted(np.cumsum(words), broadcast_words, side="right"))
+        least = int(n[sent - 1]) if sent else int(n[0]) + 1
+        n, words = n[sent:][::-1], words[sent:][::-1]
+        starts = np.cumsum(words) - words
+        rare = counts.where(F.col("n") < least).withColumn("part_", F.pmod("word", F.lit(RARE_PARTS)))
+        # a row for each rare count and part, not for each word, goes through this ordering
+        order = Window.orderBy("n", "part_").rowsBetween(Window.unboundedPreceding, -1)
+        parts = rare.groupBy("n", "part_").agg(F.count(F.lit(1)).alias("words"))
+        parts = common.few(materialize(parts.select("n", "part_", F.coalesce(F.sum("words").over(order), F.lit(0)).alias("before"))))
+        place = F.col("before") + F.row_number().over(Window.partitionBy("n", "part_").orderBy("word")) - 1
+        return least, starts, n, materialize(rare.join(parts, ["n", "part_"]).select("word", place.cast("long").alias("place")))
+
+    def _joined(self, rows: DataFrame, rare: DataFrame) -> DataFrame:
+        """The rows with the places of their own rare words as a list."""
+        sent, documents = self.sent, self.documents
 
         def words(batches):
+            vocabulary = Vocabulary(*sent.value, documents)
             for batch in batches:
                 row = batch.column(1).to_numpy()
                 for first, texts in common.text_chunks(batch.column(0)):
                     hashes, n = common.word_hashes(texts)
-                    pair = np.unique(np.stack([np.repeat(row[first : first + len(texts)], n), hashes.view(np.int64)], axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["row", "word"])
+                    rest = vocabulary.numbers(hashes) == vocabulary.unknown
+                    of, word = np.repeat(row[first : first + len(texts)], n)[rest], hashes.view(np.int64)[rest]
+                    order = np.lexsort((word, of))
+                    of, word = of[order], word[order]
+                    new = np.ones(len(of), bool)
+                    new[1:] = (of[1:] != of[:-1]) | (word[1:] != word[:-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(of[new]), pa.array(word[new])], names=["of_row", "word"])
 
         known = (
-            numbered.select("text", "row").mapInArrow(words, "row bigint, word bigint").join(counts, "word")
-            .groupBy("row").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+            rows.select("text", "row_").mapInArrow(words, "of_row bigint, word bigint").join(rare, "word")
+            .groupBy("of_row").agg(F.collect_list(F.struct("word", "place")).alias("known"))
         )
-        return numbered.join(materialize(known), "row", "left").drop("row")
+        joined = materialize(rows.join(known, F.col("row_") == F.col("of_row"), "left").drop("of_row"))
+        common.release(self.spark)
+        return joined
 
     def _chunks(self):
-        """A function that yields (batch, first row, text numbers, first words, second words, counts of both, keys) for batches."""
+        """A function that yields (batch, first row, number of texts, text numbers, counts of both words, keys) for batches with ``known``."""
         sent, documents = self.sent, self.documents
 
         def run(batches):
-            shared = Vocabulary(*sent.value, documents) if sent else None
+            vocabulary = Vocabulary(*sent.value, documents)
             for batch, at, texts in _batches_of(batches):
-                if shared:
-                    text, first, second = shared.pairs(texts)
-                    c1, c2 = shared.counts[first], shared.counts[second]
-                    yield batch, at, len(texts), text, c1, c2, _key(first, second)
-                    continue
-                known = batch.column(batch.schema.get_field_index("known"))[at : at + len(texts)].to_pylist()
-                parts = []
-                for i, (t, k) in enumerate(zip(texts, known, strict=True)):
-                    v = _local([(r["word"], r["n"]) for r in k or []], documents)
-                    _, first, second = v.pairs([t])
-                    # numbers differ between documents: the words' hashes make the key
-                    names = np.concatenate([v.words, np.array([1, 2, 3], np.uint64)])
-                    key = common.mix64(common.mix64(names[first]) + names[second]).view(np.int64)
-                    parts.append((np.full(len(first), i), v.counts[first], v.counts[second], key))
-                yield batch, at, len(texts), *(np.concatenate(c) for c in zip(*parts, strict=True))
+                known = batch.column(batch.schema.get_field_index("known")).slice(at, len(texts)).flatten()
+                word, place = (c.to_numpy(zero_copy_only=False) for c in known.flatten())
+                text, first, second = vocabulary.pairs(texts, (word.view(np.uint64), place))
+                yield batch, at, len(texts), text, vocabulary.count(first), vocabulary.count(second), _key(first, second)
 
         return run
 
     def _count_pairs(self) -> None:
-        chunks, parts, has_counts = self._chunks(), self.parts, self.sent is None
+        chunks, parts = self._chunks(), self.parts
         sent, documents, tokens, distinct = self.sent, self.documents, self.tokens, self.distinct
         least = max(2, tokens // FREQUENT_PAIRS)
 
         def pairs(batches):
-            held: list[tuple[np.ndarray, ...]] = []
+            held: list[np.ndarray] = []
 
             def flush():
-                key = np.concatenate([h[2] for h in held])
-                key, at, n = np.unique(key, return_index=True, return_counts=True)
-                more = [np.concatenate([h[c] for h in held])[at].astype(np.int64) for c in (0, 1)] if has_counts else []
+                key, n = np.unique(np.concatenate(held), return_counts=True)
                 held.clear()
-                rows = list(_blobs([n.astype(np.uint32), *more], key, parts))
+                rows = list(_blobs([n.astype(np.uint32)], key, parts))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()),
                      pa.array([r[3] for r in rows], pa.list_(pa.binary()))],
@@ -230,8 +259,8 @@ class Model:
                 )
 
             size = 0
-            for _, _, _, _, c1, c2, key in chunks(batches):
-                held.append((c1, c2, key) if has_counts else (None, None, key))
+            for *_, key in chunks(batches):
+                held.append(key)
                 size += len(key)
                 if size >= TOKENS_AT_ONCE:
                     yield from flush()
@@ -240,16 +269,16 @@ class Model:
                 yield from flush()
 
         def count(batches):
-            counts = Vocabulary(*sent.value, documents).counts if sent else None
+            vocabulary = Vocabulary(*sent.value, documents)
             total: dict[tuple[int, int, int], int] = {}
             frequent: list[tuple[int, int]] = []
-            for key, n, c1, c2 in _merged(batches, 3 if has_counts else 1):
+            for key, n in _merged(batches):
                 order = np.argsort(key, kind="stable")
                 key = key[order]
                 at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
                 c = np.add.reduceat(n[order].astype(np.int64), at)
                 key = key[at]
-                c1, c2 = (counts[key >> 32], counts[key & 0xFFFFFFFF]) if counts is not None else (c1[order][at], c2[order][at])
+                c1, c2 = vocabulary.count(key >> 32), vocabulary.count(key & 0xFFFFFFFF)
                 often = c >= least
                 frequent += zip(key[often].tolist(), c[often].tolist(), strict=True)
                 # each event held out of all counts
@@ -283,7 +312,7 @@ class Model:
 
     def scores(self) -> DataFrame:
         """Per row: row, doc_id, held_out, n_tokens, n_known, base_score, part; and the rest of the score by row, as two tables."""
-        chunks, parts, has_counts = self._chunks(), self.parts, self.sent is None
+        chunks, parts = self._chunks(), self.parts
         sent, documents, tokens, distinct = self.sent, self.documents, self.tokens, self.distinct
         weights, frequent = self.weights, self.frequent
         doc_parts = max(64, self.documents // 5_000)
@@ -315,18 +344,17 @@ class Model:
                 )
 
         def pairs(batches):
-            """Blobs of (key, times and whether for training, counts of both words where they are not known to all, row)."""
+            """Blobs of (key, times and whether for training, row)."""
             held, size = [], 0
 
             def flush():
-                key, row, train, *counts = (np.concatenate(c) for c in zip(*held, strict=True))
+                key, row, train = (np.concatenate(c) for c in zip(*held, strict=True))
                 held.clear()
                 order = np.lexsort((row, key))
                 key, row = key[order], row[order]
                 at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1]))))
                 n = 2 * np.diff(np.append(at, len(key))) + train[order][at]
-                columns = [n.astype(np.uint32), *(c[order][at].astype(np.int64) for c in counts), row[at]]
-                out = list(_blobs(columns, key[at], parts))
+                out = list(_blobs([n.astype(np.uint32), row[at]], key[at], parts))
                 return pa.RecordBatch.from_arrays(
                     [pa.array([r[c] for r in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary())))],
                     names=["part", "n", "keys", "more"],
@@ -336,7 +364,7 @@ class Model:
                 _, known = looked_up(c1, c2, key)
                 rest = ~known
                 row, train = (batch.column(c)[at : at + n].to_numpy(zero_copy_only=False)[text[rest]] for c in (2, 5))
-                held.append((key[rest], row, train, *((c1[rest], c2[rest]) if has_counts else ())))
+                held.append((key[rest], row, train))
                 size += len(row)
                 if size >= TOKENS_AT_ONCE:
                     yield flush()
@@ -345,16 +373,16 @@ class Model:
                 yield flush()
 
         def sums(batches):
-            counts = Vocabulary(*sent.value, documents).counts if sent else None
+            vocabulary = Vocabulary(*sent.value, documents)
             rows, values = [], []
-            for key, n, c1, c2, row in _merged(batches, 3 if has_counts else 1, rows=True):
+            for key, n, row in _merged(batches, rows=True):
                 order = np.argsort(key, kind="stable")
                 key, n, row = key[order], n[order].astype(np.int64), row[order]
                 n, train = n >> 1, n & 1
                 head = np.concatenate(([True], key[1:] != key[:-1]))
                 at = np.flatnonzero(head)
                 pair = np.add.reduceat(n * train, at)[np.cumsum(head) - 1]
-                c1, c2 = (counts[key >> 32], counts[key & 0xFFFFFFFF]) if counts is not None else (c1[order], c2[order])
+                c1, c2 = vocabulary.count(key >> 32), vocabulary.count(key & 0xFFFFFFFF)
                 row, value = _summed([row], [weights.log10(pair, c1, c2) * n])
                 rows.append(row)
                 values.append(value)
@@ -406,8 +434,8 @@ def _summed(rows: list, values: list) -> tuple[np.ndarray, np.ndarray]:
     return rows[at], np.add.reduceat(values[order], at) if len(at) else values
 
 
-def _merged(batches, columns: int, rows: bool = False):
-    """The blobs of each part of a partition, one part at a time: key, counts, counts of both words or None, and rows if they are there."""
+def _merged(batches, rows: bool = False):
+    """The blobs of each part of a partition, one part at a time: key, counts, and rows if they are there."""
     parts: dict[int, list] = {}
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -415,9 +443,8 @@ def _merged(batches, columns: int, rows: bool = False):
     while parts:
         blobs = parts.popitem()[1]
         key = np.concatenate([np.cumsum(common.unpack(k, n, np.int64)) for n, k, _ in blobs])
-        kinds = [np.uint32, np.int64, np.int64][:columns] + [np.int64] * rows
-        found = [np.concatenate([common.unpack(m[i], n, kind) for n, _, m in blobs]) for i, kind in enumerate(kinds)]
-        yield key, *found[:columns], *[None] * (3 - columns), *found[columns:]
+        kinds = [np.uint32] + [np.int64] * rows
+        yield key, *(np.concatenate([common.unpack(m[i], n, kind) for n, _, m in blobs]) for i, kind in enumerate(kinds))
 
 
 def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
