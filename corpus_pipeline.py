@@ -45,12 +45,25 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality", quality),
-    ("line_dedup", lines),
-    ("near_dedup", near_dedup),
-    ("mixing", mixture),
-    ("packing", packing),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def fresh(stage: Stage) -> Stage:
+    """``stage``, begun without the garbage that the stages before have left on the executors."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.free_executors(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", fresh(quality)),
+    ("line_dedup", fresh(lines)),
+    ("near_dedup", fresh(near_dedup)),
+    ("mixing", fresh(mixture)),
+    ("packing", fresh(packing)),
 ]
 
 #: The classifier and Karmarkar-Karp have no SQL form; the tests hold the stages against brute force.

@@ -503,3 +503,36 @@ def test_intermediate_tables_go(spark):
     found = near_duplicates(frame(spark, corpus(3)))
     assert len(set(shared.iterdir()) - before) == 1 and found.count() > 0
     assert spark.conf.get(settings) == setting
+
+
+def test_stages_begin_without_garbage(spark):
+    """Every stage of the pipeline first lets the executors (here: this JVM) collect their whole heap."""
+    import corpus_pipeline
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = spark.createDataFrame([(1, "a b c", "x")], "doc_id bigint, text string, source string")
+    before = full()
+    dict(corpus_pipeline.STAGES)["packing"](spark, docs, "")
+    assert full() > before
+
+
+def test_workers_give_memory_back():
+    import gc
+    import os
+    from pathlib import Path
+
+    def resident():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGESIZE") / 1e6
+
+    last = []
+
+    def run(batches):
+        held = [np.ones(2_000, np.uint8) for _ in range(100_000)]
+        last.append(held[-1])  # at the end of the heap: nothing below goes by itself
+        yield from batches
+
+    gc.collect()
+    before = resident()
+    assert list(common.tidy(run)([1, 2])) == [1, 2]
+    assert resident() < before + 100

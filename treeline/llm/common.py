@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,24 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def free_executors(spark: SparkSession) -> None:
+    """Let executors collect their garbage, by a short task for each core: what one stage's heap grew to is no longer held in the next."""
+    tasks = spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).selectExpr("reflect('java.lang.System', 'gc')").write.format("noop").mode("overwrite").save()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, which at its end gives freed memory back to the system: Spark keeps the process for later tasks."""
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError):  # glibc alone has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def few(df: DataFrame, lists: str | None = None, limit: int = 1 << 20) -> DataFrame:
     """``df``, marked for broadcast if it has at most ``limit`` rows, and entries in the column ``lists``; a written table of numbers."""
     entries = F.sum(F.size(lists)) if lists else F.lit(0).cast("long")

@@ -201,7 +201,7 @@ def _levels(first: DataFrame) -> np.ndarray:
     """The table of levels: COUNTED bytes, whatever the corpus."""
     found = np.zeros((RANGES, COUNTED // RANGES), np.uint8)
     blobs = first.where("part is not null").select("part", "size", "buckets", "counts")
-    for part, levels in blobs.repartition(RANGES // 4, "part").mapInArrow(_levels_of, "part int, levels binary").collect():
+    for part, levels in blobs.repartition(RANGES // 4, "part").mapInArrow(common.tidy(_levels_of), "part int, levels binary").collect():
         found[part] = np.frombuffer(levels, np.uint8)
     return found.reshape(-1)
 
@@ -461,7 +461,7 @@ def _removed(numbered: DataFrame, partners: int = PARTNERS) -> DataFrame:
     """(row_, removed, n_lines) of the rows with lines of ``numbered``, which has row_ and text; to be used inside a scratch scope."""
     spark = numbered.sparkSession
     rows = numbered.select(F.col("row_").alias("doc"), F.col("text").cast("string").alias("text"))
-    first = materialize(rows.mapInArrow(_first_pass, FIRST_SCHEMA))
+    first = materialize(rows.mapInArrow(common.tidy(_first_pass), FIRST_SCHEMA))
     sent = spark.sparkContext.broadcast(_levels(first))  # COUNTED bytes
     lines = first.where("part is null").select("doc", "line", "key", "key2", "n", "again")
     words = lines.agg(F.sum("n"), F.count(F.lit(1))).first()
@@ -471,8 +471,8 @@ def _removed(numbered: DataFrame, partners: int = PARTNERS) -> DataFrame:
         yield from _as_blobs(_prefixes(sent.value)(batches), parts)
 
     found = materialize(
-        rows.mapInArrow(blobs, "part bigint, rows bigint, columns array<binary>")
-        .repartition(-(-parts // 2), "part").mapInArrow(_partners(_from_blobs, partners), CANDIDATE_SCHEMA)
+        rows.mapInArrow(common.tidy(blobs), "part bigint, rows bigint, columns array<binary>")
+        .repartition(-(-parts // 2), "part").mapInArrow(common.tidy(_partners(_from_blobs, partners)), CANDIDATE_SCHEMA)
     )
     common.release(spark)
     matched = _verified(rows, found)
@@ -482,7 +482,7 @@ def _removed(numbered: DataFrame, partners: int = PARTNERS) -> DataFrame:
         again = _remarked(_rows_again(spark, found, left) if again is None else again, left)
         limit *= MORE
         dealt = again.repartition(max(16, -(-again.count() // ROWS_PER_PART)), "cell")
-        found = materialize(dealt.mapInArrow(_partners(_from_rows, limit), CANDIDATE_SCHEMA))
+        found = materialize(dealt.mapInArrow(common.tidy(_partners(_from_rows, limit)), CANDIDATE_SCHEMA))
         matched = materialize(matched.unionAll(_verified(rows, found)))
         left = _undecided(found, matched)
     # a set's first line stays unless the set is matched by an earlier one; its other lines go
@@ -534,7 +534,7 @@ def _rows_again(spark: SparkSession, found: DataFrame, left: DataFrame) -> DataF
                     t = {k: v[keep] for k, v in t.items()}
                 yield pa.RecordBatch.from_arrays([pa.array(t[k]) for k in KINDS], names=list(KINDS))
 
-    return found.where("rows is not null").select("rows", "columns").mapInArrow(rows, PREFIX)
+    return found.where("rows is not null").select("rows", "columns").mapInArrow(common.tidy(rows), PREFIX)
 
 
 def _verified(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -548,12 +548,12 @@ def _verified(rows: DataFrame, found: DataFrame) -> DataFrame:
     sets = materialize(
         rows.join(F.broadcast(wanted) if small else wanted, "doc")
         .select("doc", "text", "wanted")
-        .mapInArrow(_wanted_sets, "doc bigint, line int, words binary")
+        .mapInArrow(common.tidy(_wanted_sets), "doc bigint, line int, words binary")
     )
     side = lambda s: sets.select(F.col("doc").alias(f"doc_{s}"), F.col("line").alias(f"line_{s}"), F.col("words").alias(f"words_{s}"))
     joined = pairs.join(side("a"), ["doc_a", "line_a"]).join(side("b"), ["doc_b", "line_b"])
     alike = joined.select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line"), "words_a", "words_b")
-    return materialize(alike.mapInArrow(_alike, "doc bigint, line int").distinct())
+    return materialize(alike.mapInArrow(common.tidy(_alike), "doc bigint, line int").distinct())
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

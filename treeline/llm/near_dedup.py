@@ -150,9 +150,9 @@ def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
 
 def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` whose sizes, signatures and full sets are alike enough."""
-    alike = _with_both(pairs, sketches, "signature").mapInArrow(_alike_signatures, "a bigint, b bigint")
+    alike = _with_both(pairs, sketches, "signature").mapInArrow(common.tidy(_alike_signatures), "a bigint, b bigint")
     alike = materialize(alike)
-    return materialize(_with_both(alike, sets, "shingles").mapInArrow(_alike_sets, "a bigint, b bigint"))
+    return materialize(_with_both(alike, sets, "shingles").mapInArrow(common.tidy(_alike_sets), "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = [F.col(c) == F.col(f"{c}_") for c in ("n", "set1", "set2")]
     with common.scratch(spark) as keep:
         sketches = materialize(
-            rows.mapInArrow(_sketches, "id bigint, n bigint, set1 bigint, set2 bigint, signature binary, bands array<bigint>")
+            rows.mapInArrow(common.tidy(_sketches), "id bigint, n bigint, set1 bigint, set2 bigint, signature binary, bands array<bigint>")
         )
         known = sketches.where(F.col("id").isNotNull() & (F.col("n") > 0))
         classes = materialize(known.groupBy("n", "set1", "set2").agg(F.min("id").alias("rep")))
@@ -199,7 +199,7 @@ def _roots(rows: DataFrame, sketches: DataFrame, known: DataFrame, classes: Data
     wanted = rows_in.select("id").distinct()
     sets = materialize(
         rows.join(wanted, "id", "left_semi")
-        .mapInArrow(_sets, "id bigint, shingles binary")
+        .mapInArrow(common.tidy(_sets), "id bigint, shingles binary")
         .select("id", (F.octet_length("shingles") / 8).cast("long").alias("n"), "shingles")
         .where("n > 0")
     )

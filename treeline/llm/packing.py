@@ -159,7 +159,7 @@ def pack(
             yield table()
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"`{c}` bigint" for c in COLUMNS))
+    return rows.mapInArrow(common.tidy(run), f"`{id_col}` {kind}, " + ", ".join(f"`{c}` bigint" for c in COLUMNS))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

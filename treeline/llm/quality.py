@@ -226,7 +226,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             s = own.scores([(t or "").encode() for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(s >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(common.tidy(keep), docs.schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
