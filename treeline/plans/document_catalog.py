@@ -69,7 +69,7 @@ def breaking(name: str, rule: str, parts: str, sql: str, head: str = "", options
     """Register a query: ``parts`` of the schema's container, with the plain leaves but ``own``, and when it is broken."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        found = violations(documents(spark, d), parse_string(text), options).where(F.col("rule") == rule)
+        found = violations(documents(spark, d), parse_string(text), options, rules=[rule])
         return (found.where(F.col("path") == path) if path else found).select("doc_id").distinct()
 
     leaves = " ".join(f"leaf {k} {{ type {t}{'' if t.endswith('}') else ';'} }}" for k, t in TYPES.items() if k not in own)
